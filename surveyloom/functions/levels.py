@@ -3,6 +3,9 @@
 An ordered category is a text label plus an integer ordinal (1 for the first
 level). The mapping and the level list are always arguments, so two question blocks
 may treat the same raw answer differently.
+
+Recodes are lookups in a literal map. Each names its input once, so they can be
+nested without the expression growing, as CASE branches would.
 """
 
 from __future__ import annotations
@@ -15,58 +18,72 @@ from pyspark.sql import functions as F
 Groups = Mapping[str, Sequence[str]]
 
 
-def _cases(column: Column, pairs) -> Column:
-    """``CASE WHEN column = a THEN b ... END`` without a default, so NULL is left over."""
-    cases = None
-    for old, new in pairs:
-        test, value = column == F.lit(old), F.lit(new)
-        cases = F.when(test, value) if cases is None else cases.when(test, value)
-    return F.lit(None) if cases is None else cases
+def _look_up(column: Column, mapping: Mapping[str, object]) -> Column:
+    """The mapped value; NULL for NULL and for anything that is not listed."""
+    if not mapping:
+        return F.lit(None).cast("string")
+    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[column]
 
 
 def recode(column: Column, mapping: Mapping[str, str]) -> Column:
     """Replace listed values; anything else, NULL included, passes through."""
-    return _cases(column, mapping.items()).otherwise(column) if mapping else column
+    return F.coalesce(_look_up(column, mapping), column)
 
 
 def relabel(column: Column, mapping: Mapping[str, str]) -> Column:
     """Replace listed values; anything else becomes NULL."""
-    return _cases(column, mapping.items())
+    return _look_up(column, mapping)
 
 
 def in_levels(column: Column, levels: Sequence[str]) -> Column:
     """Keep a listed level; an unlisted answer becomes NULL."""
-    return F.when(column.isin(list(levels)), column)
+    return _look_up(column, {level: level for level in levels})
 
 
 def ordinal(column: Column, levels: Sequence[str]) -> Column:
     """Position of the answer in the level list from 1; NULL when it is not listed."""
-    return _cases(column, ((level, i) for i, level in enumerate(levels, start=1)))
+    return _look_up(column, {level: i for i, level in enumerate(levels, start=1)})
+
+
+def raw_answers(mapping: Mapping[str, str], levels: Sequence[str]) -> dict[str, list[str]]:
+    """For each level the raw answers that stand for it.
+
+    An answer that the mapping leaves alone stands for itself if it is a level.
+    """
+    return {level: [raw for raw, new in mapping.items() if new == level]
+            + ([level] if level not in mapping else []) for level in levels}
 
 
 def answer_level(mapping: Mapping[str, str], levels: Sequence[str]) -> Callable[[Column], Column]:
-    """Recode raw answers, then keep only listed levels. For use over many columns."""
-    return lambda column: in_levels(recode(column, mapping), levels)
+    """Recode raw answers and keep only listed levels. For use over many columns."""
+    flat = {raw: level for level, raws in raw_answers(mapping, levels).items() for raw in raws}
+    return lambda column: _look_up(column, flat)
+
+
+def group_of(groups: Groups) -> dict[str, str]:
+    """Member to group; a member listed twice belongs to the first group that names it."""
+    flat: dict[str, str] = {}
+    for group, members in groups.items():
+        for member in members:
+            flat.setdefault(member, group)
+    return flat
 
 
 def rollup(column: Column, groups: Groups, default: str = "otro") -> Column:
     """Coarser group of a category; NULL and unlisted values fall in ``default``."""
-    cases = None
-    for group, members in groups.items():
-        test = column.isin(list(members))
-        cases = F.when(test, F.lit(group)) if cases is None else cases.when(test, F.lit(group))
-    return F.lit(default) if cases is None else cases.otherwise(F.lit(default))
+    return F.coalesce(_look_up(column, group_of(groups)), F.lit(default))
 
 
 def belongs_to(column: Column, groups: Groups, wanted: str, default: str = "otro") -> Column:
     """Same rows as ``rollup(column) == wanted``, put as a test on the raw column.
 
-    A test on a CASE expression is not pushed to a Parquet scan, a member list is.
+    A test on a recoded column is not pushed to a Parquet scan, a member list is.
     """
+    flat = group_of(groups)
+    members = [member for member, group in flat.items() if group == wanted]
     if wanted != default:
-        return column.isin(list(groups[wanted]))
-    listed = [member for members in groups.values() for member in members]
-    return column.isNull() | ~column.isin(listed)
+        return column.isin(members)
+    return column.isNull() | ~column.isin([m for m in flat if m not in members])
 
 
 def band(column: Column, low: float, high: float,

@@ -16,7 +16,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.functions.levels import Groups
+from surveyloom.functions.levels import Groups, group_of
 from surveyloom.operators.columns import named
 
 MAX_LITERAL_ROWS = 10_000
@@ -66,15 +66,8 @@ def recode_lookup(df: DataFrame, column: str, mapping: Mapping[str, str]) -> Dat
 
 
 def rollup_lookup(df: DataFrame, column: str, groups: Groups, name: str, default: str = "otro") -> DataFrame:
-    """Coarser group through a lookup table, for lists too long for a CASE.
-
-    A member listed twice belongs to the first group that names it.
-    """
-    first = {}
-    for group, members in groups.items():
-        for member in members:
-            first.setdefault(member, group)
-    lookup = literal_table(df.sparkSession, f"`{column}` string, `{name}` string", list(first.items()))
+    """Coarser group through a lookup table, for lists too long for a literal map."""
+    lookup = literal_table(df.sparkSession, f"`{column}` string, `{name}` string", list(group_of(groups).items()))
     joined = df.join(lookup, column, "left")
     return joined.select(*[named(n) for n in df.columns],
                          F.coalesce(named(name), F.lit(default)).alias(name))

@@ -17,27 +17,47 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.functions.levels import ratio
+from surveyloom.functions.levels import ratio, raw_answers
 from surveyloom.operators.columns import named
 
+# Spark generates code for a stage of at most 100 columns (spark.sql.codegen.maxFields);
+# this leaves room for the keys.
+MAX_SIDE_BY_SIDE = 90
+
 
 def level_counts(df: DataFrame, items: Sequence[str], levels: Sequence[str], by: Sequence[str] = (),
-                 labels: Mapping[str, str] | None = None) -> DataFrame:
+                 labels: Mapping[str, str] | None = None,
+                 mapping: Mapping[str, str] | None = None) -> DataFrame:
     """One row per group and item: ``by..., item, n_1 ... n_k``.
 
-    Counting all items side by side avoids one row per answer: the rows are not
-    multiplied by the number of items before they are aggregated.
+    With ``mapping`` the answers are raw ones: each level counts the raw answers that
+    stand for it, and no row has to be recoded.
+
+    All items are counted side by side, so the rows are not multiplied by the number
+    of items before they are aggregated. Blocks too wide for one generated loop
+    (``MAX_SIDE_BY_SIDE`` counts) go through rows of single answers instead.
     """
-    labels = labels or {}
-    counts, rows = [], []
-    for j, item in enumerate(items):
-        cells = [F.lit(labels.get(item, item)).alias("item")]
-        for i, level in enumerate(levels, start=1):
-            counts.append(F.count_if(named(item) == level).alias(f"__n_{j}_{i}"))
-            cells.append(F.col(f"__n_{j}_{i}").alias(f"n_{i}"))
-        rows.append(F.struct(*cells))
+    names = {item: (labels or {}).get(item, item) for item in items}
+    raws = raw_answers(mapping or {}, levels)
     keys = [named(b) for b in by]
-    return df.groupBy(*keys).agg(*counts).select(*keys, F.inline(F.array(*rows)))
+
+    def counts(answer: Column) -> list[Column]:
+        return [F.count_if(answer.isin(raws[level])) for level in levels]
+
+    if len(items) * len(levels) > MAX_SIDE_BY_SIDE:
+        long = df.select(*keys, *[named(old).alias(new) for old, new in names.items()])
+        long = long.unpivot(keys, [named(new) for new in names.values()], "item", "__answer")
+        cells = [c.alias(f"n_{i}") for i, c in enumerate(counts(F.col("__answer")), start=1)]
+        return long.groupBy(*keys, "item").agg(*cells)
+
+    wide, rows = [], []
+    for j, (item, label) in enumerate(names.items()):
+        row = [F.lit(label).alias("item")]
+        for i, count in enumerate(counts(named(item)), start=1):
+            wide.append(count.alias(f"__n_{j}_{i}"))
+            row.append(F.col(f"__n_{j}_{i}").alias(f"n_{i}"))
+        rows.append(F.struct(*row))
+    return df.groupBy(*keys).agg(*wide).select(*keys, F.inline(F.array(*rows)))
 
 
 def _n(numbers) -> Column:

@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.levels import (
     Groups,
-    answer_level,
     band,
     mirror,
     ratio,
+    raw_answers,
     relabel,
     rollup,
 )
-from surveyloom.operators.columns import apply_columns, flag_empty_rows, named, row_sum
+from surveyloom.operators.columns import flag_empty_rows, named, row_sum
 from surveyloom.operators.grids import densify, explode_domain
 from surveyloom.operators.joins import left_join
 from surveyloom.operators.likert import level_counts, level_shares
-from surveyloom.operators.rows import drop_incomplete, drop_na_text, keep_in
+from surveyloom.operators.rows import drop_na_text, keep_in
 from surveyloom.operators.counts import sum_or_zero
 from surveyloom.operators.shares import pie_donut
 
@@ -45,17 +45,17 @@ def likert_by_zone(zoned: DataFrame, items: Sequence[str], mapping: Mapping[str,
                    levels: Sequence[str], zone: str = "zona",
                    labels: Mapping[str, str] | None = None) -> DataFrame:
     """Percent of each level by zone and item; a NULL answer is left out of its own item only."""
-    recoded = apply_columns(zoned, items, answer_level(mapping, levels))
-    return level_shares(level_counts(recoded, items, levels, [zone], labels), levels)
+    return level_shares(level_counts(zoned, items, levels, [zone], labels, mapping), levels)
 
 
 def heatmap_cells(zoned: DataFrame, items: Sequence[str], mapping: Mapping[str, str],
                   levels: Sequence[str], zone: str = "zona",
                   labels: Mapping[str, str] | None = None) -> DataFrame:
     """Zone by level cells of every item, from respondents who answered all items."""
-    recoded = apply_columns(zoned, items, answer_level(mapping, levels))
-    complete = drop_incomplete(recoded, items)
-    return level_shares(level_counts(complete, items, levels, [zone], labels), levels, n="count")
+    valid = [raw for raws in raw_answers(mapping, levels).values() for raw in raws]
+    for item in items:
+        zoned = keep_in(zoned, item, valid)
+    return level_shares(level_counts(zoned, items, levels, [zone], labels, mapping), levels, n="count")
 
 
 def species_change(zoned: DataFrame, denominators: DataFrame, species: str, direction: str,
