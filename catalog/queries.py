@@ -71,8 +71,7 @@ def src_catalog(spark, d):
 
 @query
 def src_load_all(spark, d):
-    tables.load_all(spark, d)
-    return tables.table_sizes({n: spark.table(n) for n in (r.name for r in tables.table_names(spark, d).toLocalIterator())})
+    return tables.table_sizes({name: spark.table(name) for name in tables.load_all(spark, d)})
 
 
 @query

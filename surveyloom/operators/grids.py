@@ -51,8 +51,9 @@ def absent_values(df: DataFrame, keys: Sequence[str], column: str, domain: Seque
     if attributes is not None:
         extra = [n for n in attributes.columns if n != on]
         per_key = left_join(per_key, attributes, on, null_safe)
-    return per_key.select(*[named(k) for k in keys], *[named(n) for n in extra],
-                          F.explode(F.array_compact(F.array(*absent))).alias(column))
+    one_each = per_key.select(*[named(k) for k in keys], *[named(n) for n in extra],
+                              F.explode(F.array(*absent)).alias(column))
+    return one_each.filter(named(column).isNotNull())
 
 
 def complete_cells(cells: DataFrame, by: Sequence[str], level: str, levels: Sequence[str],

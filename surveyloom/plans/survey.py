@@ -27,9 +27,13 @@ from surveyloom.operators.shares import pie_donut
 
 def with_zone(answers: DataFrame, profile: DataFrame, key: str, place: str, zones: Groups,
               default: str = "otro", zone: str = "zona", null_safe: bool = False) -> DataFrame:
-    """Look up each respondent's place and roll it up to a zone."""
-    joined = left_join(answers, profile.select(named(key), named(place)), key, null_safe)
-    return joined.withColumn(zone, rollup(named(place), zones, default))
+    """Look up each respondent's place and zone; without a profile the zone is ``default``.
+
+    The places are rolled up before the join, once per respondent and not per answer.
+    """
+    places = profile.select(named(key), named(place), rollup(named(place), zones, default).alias(zone))
+    joined = left_join(answers, places, key, null_safe)
+    return joined.withColumn(zone, F.coalesce(named(zone), F.lit(default)))
 
 
 def coverage_bands(sites: DataFrame, x: str, y: str, part: str, whole: str,
@@ -100,12 +104,13 @@ def gear_rotation(trips: DataFrame, profile: DataFrame, key: str, month: str, ge
     """
     labelled = trips.withColumn(month, relabel(named(month), months))
     domain = list(months.values())
-    place_of = profile.select(named(key), named(place))
-    if not added_rows_keep_zone:
-        labelled = with_zone(labelled, profile, key, place, zones, default, zone, null_safe).drop(place)
-    dense = densify(labelled, [key], month, domain, place_of, key, null_safe)
+    zone_of = profile.select(named(key), rollup(named(place), zones, default).alias(zone))
     if added_rows_keep_zone:
-        dense = dense.withColumn(zone, rollup(named(place), zones, default))
+        dense = densify(labelled, [key], month, domain, zone_of, key, null_safe)
+        dense = dense.withColumn(zone, F.coalesce(named(zone), F.lit(default)))
+    else:
+        zoned = with_zone(labelled, profile, key, place, zones, default, zone, null_safe).drop(place)
+        dense = densify(zoned, [key], month, domain, profile.select(named(key), named(place)), key, null_safe)
 
     flagged = flag_empty_rows(dense, gears, "__none")
     sums = sum_or_zero(flagged, [zone, month], [*gears, "__none"])
