@@ -18,14 +18,14 @@ NULL_MARKER = r"\N"
 
 
 def write_csv(df: DataFrame, path: str, null_marker: str = NULL_MARKER) -> None:
-    """CSV part files, each with a header; quotes inside a text are doubled."""
-    (df.write.option("header", True).option("nullValue", null_marker)
-     .option("escape", '"').csv(path))
+    """CSV part files, each with a header; quotes inside a text are doubled, blanks around it stay."""
+    (df.write.option("header", True).option("nullValue", null_marker).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str,
-             null_marker: str = NULL_MARKER) -> DataFrame:
-    return csv_reader(spark, schema, null_marker).csv(path)
+             null_marker: str = NULL_MARKER, multi_line: bool = True) -> DataFrame:
+    return csv_reader(spark, schema, null_marker, multi_line).csv(path)
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row") -> DataFrame:

@@ -24,20 +24,26 @@ def table_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_table(spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None,
-               file_format: str = "parquet", null_marker: str = "") -> DataFrame:
+               file_format: str = "parquet", null_marker: str = "", multi_line: bool = True) -> DataFrame:
     """One table by name. CSV needs a schema; Parquet takes it from the file."""
     path = f"{folder.rstrip('/')}/{name}.{file_format}"
     if file_format == "csv":
         if schema is None:
             raise ValueError("a CSV table needs an explicit schema")
-        return csv_reader(spark, schema, null_marker).csv(path)
+        return csv_reader(spark, schema, null_marker, multi_line).csv(path)
     reader = spark.read.format(file_format)
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def csv_reader(spark: SparkSession, schema: StructType | str, null_marker: str):
+def csv_reader(spark: SparkSession, schema: StructType | str, null_marker: str, multi_line: bool = True):
+    """Headers are checked against the schema, and a malformed row is an error.
+
+    A text may hold line breaks. Where none does, ``multi_line=False`` lets Spark
+    split a large file over several tasks.
+    """
     return (spark.read.schema(schema).option("header", True).option("nullValue", null_marker)
-            .option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", False))
+            .option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", False)
+            .option("multiLine", multi_line))
 
 
 def load_all(spark: SparkSession, folder: str, names: Sequence[str] | None = None,

@@ -1,0 +1,254 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from surveyloom.operators import counts as ct
+from surveyloom.operators import grids as gr
+from surveyloom.operators import joins as jo
+from surveyloom.operators import likert as lk
+from surveyloom.operators import ordering as od
+from surveyloom.operators import points as pt
+from surveyloom.operators import reshape as rs
+from surveyloom.operators import shares as sh
+
+LEVELS = ["Low", "Mid", "High"]
+
+
+@pytest.fixture
+def cells(spark):
+    return spark.createDataFrame([("a", "Low", 2), ("a", "odd", 1), ("b", "High", 3), (None, "Low", 4), ("b", None, 5)],
+                                 "g string, level string, n long")
+
+
+def test_left_join_null_keys_and_fan_out(spark, rows):
+    left = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "id int, l string")
+    right = spark.createDataFrame([(1, "p"), (1, "q"), (None, "r")], "id int, r string")
+    assert rows(jo.left_join(left, right, "id")) == [(None, "y", None), (1, "x", "p"), (1, "x", "q"), (3, "z", None)]
+    assert rows(jo.left_join(left, right, "id", null_safe=True)) == [
+        (None, "y", "r"), (1, "x", "p"), (1, "x", "q"), (3, "z", None)]
+
+
+def test_merge_left_suffixes_and_sorts(spark):
+    left = spark.createDataFrame([(2, "b", 1), (1, "a", 2)], "k int, v string, only int")
+    right = spark.createDataFrame([(1, "A")], "k int, V string")
+    merged = jo.merge_left(left, right, "k")
+    assert merged.columns == ["k", "v_x", "only", "V_y"]
+    assert [tuple(r) for r in merged.collect()] == [(1, "a", 2, "A"), (2, "b", 1, None)]
+
+
+def test_literal_table_refuses_long_lists(spark):
+    with pytest.raises(ValueError):
+        jo.literal_table(spark, "x int", [(i,) for i in range(jo.MAX_LITERAL_ROWS + 1)])
+
+
+def test_lookup_forms_agree_with_maps(spark, rows):
+    from surveyloom.functions.levels import recode, rollup
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("z", 3), (None, 4)], "p string, id int")
+    groups = {"one": ["a", "b"], "two": ["b"]}
+    assert rows(jo.rollup_lookup(df, "p", groups, "g")) == rows(df.withColumn("g", rollup(F.col("p"), groups)))
+    assert rows(jo.recode_lookup(df, "p", {"a": "A"})) == rows(df.withColumn("p", recode(F.col("p"), {"a": "A"})))
+
+
+def test_complete_cells(cells, rows):
+    done = gr.complete_cells(cells, ["g"], "level", LEVELS, {"n": 0})
+    assert rows(done) == [
+        (None, "High", 0), (None, "Low", 4), (None, "Mid", 0),
+        ("a", "High", 0), ("a", "Low", 2), ("a", "Mid", 0), ("a", "odd", 1),
+        ("b", None, 5), ("b", "High", 3), ("b", "Low", 0), ("b", "Mid", 0)]
+    assert rows(gr.complete_cells(done, ["g"], "level", LEVELS, {"n": 0})) == rows(done)
+
+
+def test_complete_cells_exact_grid_and_fill(spark, rows):
+    df = spark.createDataFrame([("a", "Low", None, "x"), ("b", "High", 1, "y")], "g string, level string, n long, note string")
+    done = rows(gr.complete_cells(df, ["g"], "level", LEVELS, {"n": 0}))
+    assert done == [("a", "High", 0, None), ("a", "Low", 0, "x"), ("a", "Mid", 0, None),
+                    ("b", "High", 1, "y"), ("b", "Low", 0, None), ("b", "Mid", 0, None)]
+
+
+@pytest.mark.parametrize("size", [1, 61, 62, 63, 125])
+def test_completion_over_mask_borders(spark, size):
+    domain = [f"v{i}" for i in range(size)]
+    present = [domain[0], domain[-1], domain[size // 2]]
+    df = spark.createDataFrame([(1, v) for v in present] + [(2, "unlisted"), (3, None)], "id int, v string")
+    absent = {(r.id, r.v) for r in gr.absent_values(df, ["id"], "v", domain).collect()}
+    assert absent == {(i, v) for i in (1, 2, 3) for v in domain} - {(1, v) for v in present}
+
+
+def test_empty_input(spark):
+    empty = spark.createDataFrame([], "g string, level string, n long")
+    assert gr.complete_cells(empty, ["g"], "level", LEVELS, {"n": 0}).count() == 0
+    assert gr.densify(empty, ["g"], "level", LEVELS).count() == 0
+    assert gr.key_grid(empty, ["g"], "level", LEVELS).count() == 0
+    assert sh.share_in_group(empty, "n", ["g"]).count() == 0
+    assert sh.pie_donut(empty.withColumn("sub", F.col("level")), ["g"], "level", "sub").count() == 0
+    assert lk.level_shares(lk.level_counts(empty, ["level"], LEVELS, ["g"]), LEVELS).count() == 0
+
+
+def test_densify(spark, rows):
+    facts = spark.createDataFrame([(1, "jan", 5), (1, "jan", 6), (1, "bad", 7), (2, None, 8), (None, "feb", 9)],
+                                  "id int, mes string, v int")
+    dense = gr.densify(facts, ["id"], "mes", ["jan", "feb"])
+    assert rows(dense) == [(None, "feb", 9), (None, "jan", None), (1, "feb", None), (1, "jan", 5), (1, "jan", 6),
+                           (2, "feb", None), (2, "jan", None)]
+    assert rows(gr.lost_rows(facts, "mes", ["jan", "feb"])) == [(2,)]
+
+
+def test_densify_looks_attributes_up_for_all_rows(spark, rows):
+    facts = spark.createDataFrame([(1, "jan", 5), (2, "feb", 6), (3, "jan", 7)], "id int, mes string, v int")
+    profile = spark.createDataFrame([(1, "p"), (2, "q"), (2, "r")], "id int, port string")
+    dense = gr.densify(facts, ["id"], "mes", ["jan", "feb"], profile, "id")
+    assert rows(dense) == [
+        (1, "feb", None, "p"), (1, "jan", 5, "p"), (2, "feb", 6, "q"), (2, "feb", 6, "r"), (2, "jan", None, "q"),
+        (2, "jan", None, "r"), (3, "feb", None, None), (3, "jan", 7, None)]
+
+
+def test_share_in_group_sums_to_100_or_null(spark, rows):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), (None, "x", 2), ("z", "x", 0), ("z", None, 0)],
+                               "g string, k string, n long")
+    got = rows(sh.share_in_group(df, "n", ["g"], total="total"))
+    assert got == [(None, "x", 2, 2, 100.0), ("a", "x", 1, 4, 25.0), ("a", "y", 3, 4, 75.0), ("z", None, 0, 0, None),
+                   ("z", "x", 0, 0, None)]
+
+
+def test_share_of_external_denominator(spark, rows):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("c", 1)], "g string, n long")
+    denominators = spark.createDataFrame([("a", 17), ("b", 0)], "g string, d long")
+    assert rows(sh.share_of(df, ["n"], denominators, "g", "d")) == [("a", 3 / 17 * 100), ("b", None), ("c", None)]
+
+
+def test_pie_donut(spark, rows):
+    df = spark.createDataFrame([("z", "yes", "s1")] * 2 + [("z", "yes", None), ("z", "no", "s1"), (None, "no", "s1")],
+                               "zona string, a string, b string")
+    assert rows(sh.pie_donut(df, ["zona"], "a", "b")) == [
+        (None, "no", "s1", 1, 100.0, 100.0), ("z", "no", "s1", 1, 25.0, 100.0),
+        ("z", "yes", None, 1, 75.0, 1 / 3 * 100), ("z", "yes", "s1", 2, 75.0, 2 / 3 * 100)]
+    whole = sh.pie_donut(df, ["zona"], "a", "b", within_answer=False)
+    assert rows(whole, "zona", "a", "b", "donut_share")[-2:] == [("z", "yes", None, 25.0), ("z", "yes", "s1", 50.0)]
+
+
+def test_sum_ignores_null_and_gives_zero(spark, rows):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.5), ("b", None)], "g string, v double")
+    assert rows(ct.sum_or_zero(df, ["g"], ["v"])) == [("a", 0.0), ("b", 1.5)]
+
+
+def test_pivot_and_back(cells, rows):
+    wide = rs.pivot_wide(cells, ["g"], "level", "n", LEVELS)
+    assert rows(wide) == [(None, 4, 0, 0), ("a", 2, 0, 0), ("b", 0, 0, 3)]
+    back = rs.unpivot_long(wide, ["g"], LEVELS, "level", "n").filter("n > 0")
+    assert rows(back) == rows(cells.filter(F.col("level").isin(LEVELS)))
+
+
+def test_unpivot_keeps_null(spark, rows):
+    df = spark.createDataFrame([(1, None, "x")], "id int, a string, b string")
+    assert rows(rs.unpivot_long(df, ["id"], ["a", "b"], "item", "value")) == [(1, "a", None), (1, "b", "x")]
+
+
+def test_counts_treat_null_as_a_group(cells, rows):
+    assert rows(ct.count_rows(cells, "g", name="c")) == [(None, 1), ("a", 2), ("b", 2)]
+    assert rows(ct.reaggregate(cells, "g", value="n", name="n")) == [(None, 4), ("a", 3), ("b", 8)]
+
+
+def test_quoted_list(spark, rows):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "s string")
+    assert rows(ct.quoted_list(df.dropna(), "s", "l")) == [("c('a', 'b')",)]
+
+
+def test_contradictions(spark, rows):
+    df = spark.createDataFrame([("z", "s", "D"), ("z", "s", "U"), ("z", "t", "D"), ("y", "s", "U"), ("z", "t", None)],
+                               "zona string, sp string, w string")
+    assert rows(ct.contradictions(df, ["zona", "sp"], "w", "D", "U")) == [("z", "s", 1, 1)]
+
+
+def test_outside_levels(spark, rows):
+    df = spark.createDataFrame([("Low", "x"), (None, "NA"), ("Low ", "High")], "p string, q string")
+    assert rows(ct.outside_levels(df, ["p", "q"], LEVELS)) == [
+        ("p", None, 1), ("p", "Low ", 1), ("q", "NA", 1), ("q", "x", 1)]
+
+
+def test_orders(spark):
+    df = spark.createDataFrame([("High",), ("Low",), ("odd",), (None,), ("Mid",)], "l string")
+    ordered = [r.l for r in od.order_by_levels(df, "l", LEVELS).collect()]
+    assert ordered[:3] == LEVELS and set(ordered[3:]) == {"odd", None}
+    assert [r.l for r in od.order_by_levels(df, "l", LEVELS, descending=True).collect()][:3] == LEVELS[::-1]
+    assert [r.l for r in od.sorted_values(df.dropna(), "l").collect()] == ["High", "Low", "Mid", "odd"]
+    assert [r.l for r in od.preview(df.dropna(), "l", rows=2).collect()] == ["High", "Low"]
+
+
+@pytest.fixture
+def items(spark):
+    # item p: 1 Low, 2 Mid, 1 High; item q: 4 answers missing or unlisted
+    return spark.createDataFrame([("z", "Low", None), ("z", "Mid", "NA"), ("z", "Mid", "odd"), ("z", "High", None),
+                                  ("z", None, None), ("y", "High", "Low")], "zona string, p string, q string")
+
+
+def test_level_shares(items, rows):
+    got = rows(lk.level_shares(lk.level_counts(items, ["p", "q"], LEVELS, ["zona"]), LEVELS))
+    assert got == [
+        ("y", "p", "High", 3, 1, 100.0), ("y", "p", "Low", 1, 0, 0.0), ("y", "p", "Mid", 2, 0, 0.0),
+        ("y", "q", "High", 3, 0, 0.0), ("y", "q", "Low", 1, 1, 100.0), ("y", "q", "Mid", 2, 0, 0.0),
+        ("z", "p", "High", 3, 1, 25.0), ("z", "p", "Low", 1, 1, 25.0), ("z", "p", "Mid", 2, 2, 50.0),
+        ("z", "q", "High", 3, 0, None), ("z", "q", "Low", 1, 0, None), ("z", "q", "Mid", 2, 0, None)]
+
+
+def test_wide_blocks_count_the_same(items, rows, monkeypatch):
+    labels = {"p": "Storm Freq.", "q": "Jet Skis"}
+    mapping = {"odd": "High", "Mid": "Low"}
+    side_by_side = rows(lk.level_counts(items, ["p", "q"], LEVELS, ["zona"], labels, mapping))
+    monkeypatch.setattr(lk, "MAX_SIDE_BY_SIDE", 1)
+    assert rows(lk.level_counts(items, ["p", "q"], LEVELS, ["zona"], labels, mapping)) == side_by_side
+    assert side_by_side == [("y", "Jet Skis", 1, 0, 0), ("y", "Storm Freq.", 0, 0, 1),
+                            ("z", "Jet Skis", 0, 0, 1), ("z", "Storm Freq.", 3, 0, 1)]
+
+
+def test_balance_spread_and_bars(items, rows):
+    counts = lk.level_counts(items, ["p"], LEVELS, ["zona"])
+    assert rows(lk.low_neutral_high(counts, 3)) == [("y", "p", 0.0, 0.0, 100.0), ("z", "p", 25.0, 50.0, 25.0)]
+    y, z = rows(lk.mean_sd(counts, 3))
+    assert y == ("y", "p", 1, 3.0, None)
+    assert z[:4] == ("z", "p", 4, 2.0) and math.isclose(z[4], math.sqrt(2 / 3))
+    bars = rows(lk.centered_offsets(counts, LEVELS).filter("zona = 'z'"), "ordinal", "bar_start", "bar_end")
+    assert bars == [(1, -50.0, -25.0), (2, -25.0, 25.0), (3, 25.0, 50.0)]
+
+
+def test_even_scales_have_no_neutral_part(items, rows):
+    two = ["Low", "High"]
+    counts = lk.level_counts(items, ["p"], two, ["zona"])
+    assert rows(lk.low_neutral_high(counts, 2).filter("zona = 'z'")) == [("z", "p", 50.0, 0.0, 50.0)]
+    assert rows(lk.low_neutral_high(counts, 2, center=2).filter("zona = 'z'")) == [("z", "p", 50.0, 50.0, 0.0)]
+
+
+def test_density_integrates_to_one(items):
+    counts = lk.level_counts(items, ["p", "q"], LEVELS, ["zona"])
+    step = 0.05
+    grid = [-3 + i * step for i in range(201)]
+    mass = {(r.zona, r.item): r.m for r in lk.ordinal_density(counts, 3, grid, 0.4)
+            .groupBy("zona", "item").agg((F.sum("density") * step).alias("m")).collect()}
+    assert math.isclose(mass["z", "p"], 1, abs_tol=1e-6) and mass["z", "q"] is None
+
+
+def test_points(spark, rows):
+    df = spark.createDataFrame([(1, 1.0, 2.0, '{"natural": "coastline"}'), (2, 3.0, 5.0, "{}"), (3, 9.0, 9.0, None)],
+                               "id int, x double, y double, tags string")
+    point = pt.make_point(df, "x", "y").filter("id = 1").select("point.*").collect()[0]
+    assert tuple(point) == (1.0, 2.0, 4326)
+    assert rows(pt.bounding_box(df, "x", "y")) == [(1.0, 2.0, 9.0, 9.0)]
+    assert rows(pt.in_box_with_tag(df, "x", "y", (1, 2, 4, 6), "tags", "natural", "coastline"), "id") == [(1,)]
+
+
+def test_rescale_area(spark, rows):
+    df = spark.createDataFrame([(1,), (2,), (5,), (None,)], "n int")
+    assert rows(pt.rescale_area(df, "n", "size")) == [(None, None), (1, 3.0), (2, 6.5), (5, 10.0)]
+    same = spark.createDataFrame([(4,), (4,)], "n int")
+    assert rows(pt.rescale_area(same, "n", "size"))[0][1] == pytest.approx(3 + 7 * math.sqrt(0.5))
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_results_do_not_depend_on_partitions(spark, items, rows, parts):
+    spread = items.repartition(parts)
+    for run in (lambda df: lk.level_counts(df, ["p", "q"], LEVELS, ["zona"]),
+                lambda df: sh.pie_donut(df, ["zona"], "p", "q"),
+                lambda df: gr.densify(df, ["zona"], "p", LEVELS),
+                lambda df: sh.share_in_group(ct.count_rows(df, "zona", "p"), "n", ["zona"])):
+        assert rows(run(spread)) == rows(run(items))
