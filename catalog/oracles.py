@@ -237,7 +237,7 @@ ORACLES: dict[str, str] = {
         SELECT coalesce(g.zona, c.zona) AS zona, coalesce(g.level, c.sub_answer) AS sub_answer, coalesce(c.n, 0) AS count
         FROM grid g FULL JOIN cells c ON c.zona = g.zona AND c.sub_answer = g.level""",
     "complete_cells_long_domain": f"""WITH {REPORTS},
-        cells AS (SELECT id, sp_cien, count(*) AS n FROM reports GROUP BY ALL),
+        cells AS (SELECT id, nullif(sp_cien, 'NA') AS sp_cien, count(*) AS n FROM reports GROUP BY ALL),
         grid AS (SELECT id, 'Brand#' || i AS sp_cien FROM (SELECT DISTINCT id FROM cells)
           CROSS JOIN (SELECT unnest(range(1, 131)) AS i))
         SELECT coalesce(g.id, c.id) AS id, coalesce(g.sp_cien, c.sp_cien) AS sp_cien, coalesce(c.n, 0) AS n

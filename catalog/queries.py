@@ -409,14 +409,14 @@ def _level_cells(spark, d) -> DataFrame:
 
 @query
 def complete_cells(spark, d):
-    return gr.complete_cells(_level_cells(spark, d), ["zona"], "sub_answer", b.PRIORITY_LEVELS, {"count": 0})
+    return gr.complete_cells(_level_cells(spark, d), ["zona"], "sub_answer", b.PRIORITY_LEVELS, "count")
 
 
 @query
 def complete_cells_long_domain(spark, d):
     cells = ct.count_rows(b.reports(spark, d), "id", "sp_cien")
     domain = [f"Brand#{i}" for i in range(1, 131)]
-    return gr.complete_cells(cells, ["id"], "sp_cien", domain, {"n": 0})
+    return gr.complete_cells(cells, ["id"], "sp_cien", domain)
 
 
 # ---- counts, reshapes and shares ---------------------------------------------------------

@@ -60,6 +60,12 @@ def answer_level(mapping: Mapping[str, str], levels: Sequence[str]) -> Callable[
     return lambda column: _look_up(column, flat)
 
 
+def answer_ordinal(mapping: Mapping[str, str], levels: Sequence[str]) -> Callable[[Column], Column]:
+    """The ordinal of a raw answer's level, in one lookup."""
+    flat = {raw: i for i, raws in enumerate(raw_answers(mapping, levels).values(), start=1) for raw in raws}
+    return lambda column: _look_up(column, flat)
+
+
 def group_of(groups: Groups) -> dict[str, str]:
     """Member to group; a member listed twice belongs to the first group that names it."""
     flat: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Key grids and completion: one row per key and domain value.
 
 The domain is a list held by the caller, so a grid needs no join: the distinct keys
-are exploded over it. To complete a table, each key's present values are folded into
+are exploded over it. To densify a table, each key's present values are folded into
 bit masks (a fixed-size aggregate that combines before the shuffle, also for a hot
 key), the absent values are unpacked from the masks, and the new rows are appended.
 The rows already there are neither joined nor shuffled.
@@ -9,15 +9,18 @@ The rows already there are neither joined nor shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.functions.levels import ordinal
+from surveyloom.functions.levels import in_levels, ordinal
 from surveyloom.operators.columns import named
 from surveyloom.operators.joins import left_join
 
+# Spark generates code for a stage of at most 100 columns (spark.sql.codegen.maxFields);
+# this many aggregates leave room for the keys.
+MAX_SIDE_BY_SIDE = 90
 BITS = 62  # positions per mask; the sign bit of a long stays free
 
 
@@ -57,17 +60,29 @@ def absent_values(df: DataFrame, keys: Sequence[str], column: str, domain: Seque
 
 
 def complete_cells(cells: DataFrame, by: Sequence[str], level: str, levels: Sequence[str],
-                   fill: Mapping[str, object]) -> DataFrame:
-    """Add the missing cells of every observed group, with the fill values.
+                   value: str = "n", fill=0) -> DataFrame:
+    """Every observed group with every level: ``by..., level, value``, missing cells filled.
 
-    Cells already there stay, also those with a NULL or unlisted level. A NULL in a
-    fill column of an existing cell is filled as well.
+    Levels form a closed domain: a cell with an unlisted level counts under NULL, and a
+    NULL cell stays if the group has one. The cells are summed side by side and turned
+    back into rows, which reads them once; a long level list goes through the masks.
     """
-    types = dict(cells.dtypes)
-    added = absent_values(cells, by, level, levels)
-    added = added.withColumns({n: F.lit(v).cast(types[n]) for n, v in fill.items()})
-    present = cells.withColumns({n: F.coalesce(named(n), F.lit(v).cast(types[n])) for n, v in fill.items()})
-    return present.unionByName(added, allowMissingColumns=True)
+    keys = [named(b) for b in by]
+    coerced = cells.select(*keys, in_levels(named(level), levels).alias(level), named(value).alias(value))
+    if len(levels) > MAX_SIDE_BY_SIDE:
+        merged = coerced.groupBy(*keys, named(level)).agg(F.coalesce(F.sum(named(value)), F.lit(fill)).alias(value))
+        added = absent_values(coerced, by, level, levels)
+        return merged.unionByName(added.withColumn(value, F.lit(fill)))
+
+    sums = [F.sum(F.when(named(level) == v, named(value))).alias(f"__{i}") for i, v in enumerate(levels)]
+    other = [F.sum(F.when(named(level).isNull(), named(value))).alias("__null"),
+             F.count_if(named(level).isNull()).alias("__nulls")]
+    rows = [F.struct(F.lit(v).alias(level), F.coalesce(F.col(f"__{i}"), F.lit(fill)).alias(value), F.lit(True).alias("__cell"))
+            for i, v in enumerate(levels)]
+    rows.append(F.struct(F.lit(None).cast("string").alias(level), F.coalesce("__null", F.lit(fill)).alias(value),
+                         (F.col("__nulls") > 0).alias("__cell")))
+    wide = coerced.groupBy(*keys).agg(*sums, *other)
+    return wide.select(*keys, F.inline(F.array(*rows))).filter("__cell").drop("__cell")
 
 
 def densify(facts: DataFrame, keys: Sequence[str], column: str, domain: Sequence[str],

@@ -17,12 +17,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.functions.levels import ratio, raw_answers
+from surveyloom.functions.levels import answer_ordinal, ratio
 from surveyloom.operators.columns import named
-
-# Spark generates code for a stage of at most 100 columns (spark.sql.codegen.maxFields);
-# this leaves room for the keys.
-MAX_SIDE_BY_SIDE = 90
+from surveyloom.operators.grids import MAX_SIDE_BY_SIDE
 
 
 def level_counts(df: DataFrame, items: Sequence[str], levels: Sequence[str], by: Sequence[str] = (),
@@ -30,34 +27,36 @@ def level_counts(df: DataFrame, items: Sequence[str], levels: Sequence[str], by:
                  mapping: Mapping[str, str] | None = None) -> DataFrame:
     """One row per group and item: ``by..., item, n_1 ... n_k``.
 
-    With ``mapping`` the answers are raw ones: each level counts the raw answers that
-    stand for it, and no row has to be recoded.
+    With ``mapping`` the answers are raw ones, and an answer it leaves alone stands for
+    itself.
 
-    All items are counted side by side, so the rows are not multiplied by the number
-    of items before they are aggregated. Blocks too wide for one generated loop
-    (``MAX_SIDE_BY_SIDE`` counts) go through rows of single answers instead.
+    Each answer is turned into its ordinal once, and all items are counted side by
+    side, so the rows are not multiplied by the number of items before they are
+    aggregated. Blocks too wide for one generated loop (``MAX_SIDE_BY_SIDE`` counts) go
+    through rows of single answers instead.
     """
-    names = {item: (labels or {}).get(item, item) for item in items}
-    raws = raw_answers(mapping or {}, levels)
+    code = answer_ordinal(mapping or {}, levels)
     keys = [named(b) for b in by]
+    names = [(labels or {}).get(item, item) for item in items]
+    coded = df.select(*keys, *[code(named(item)).alias(f"__item_{j}") for j, item in enumerate(items)])
 
-    def counts(answer: Column) -> list[Column]:
-        return [F.count_if(answer.isin(raws[level])) for level in levels]
+    def counts(answer: str) -> list[Column]:
+        return [F.count(F.when(F.col(answer) == i, 1)) for i in range(1, len(levels) + 1)]
 
     if len(items) * len(levels) > MAX_SIDE_BY_SIDE:
-        long = df.select(*keys, *[named(old).alias(new) for old, new in names.items()])
-        long = long.unpivot(keys, [named(new) for new in names.values()], "item", "__answer")
-        cells = [c.alias(f"n_{i}") for i, c in enumerate(counts(F.col("__answer")), start=1)]
+        renamed = coded.withColumnsRenamed({f"__item_{j}": name for j, name in enumerate(names)})
+        long = renamed.unpivot(keys, [named(name) for name in names], "item", "__answer")
+        cells = [c.alias(f"n_{i}") for i, c in enumerate(counts("__answer"), start=1)]
         return long.groupBy(*keys, "item").agg(*cells)
 
     wide, rows = [], []
-    for j, (item, label) in enumerate(names.items()):
-        row = [F.lit(label).alias("item")]
-        for i, count in enumerate(counts(named(item)), start=1):
+    for j, name in enumerate(names):
+        row = [F.lit(name).alias("item")]
+        for i, count in enumerate(counts(f"__item_{j}"), start=1):
             wide.append(count.alias(f"__n_{j}_{i}"))
             row.append(F.col(f"__n_{j}_{i}").alias(f"n_{i}"))
         rows.append(F.struct(*row))
-    return df.groupBy(*keys).agg(*wide).select(*keys, F.inline(F.array(*rows)))
+    return coded.groupBy(*keys).agg(*wide).select(*keys, F.inline(F.array(*rows)))
 
 
 def _n(numbers) -> Column:

@@ -51,20 +51,23 @@ def test_lookup_forms_agree_with_maps(spark, rows):
     assert rows(jo.recode_lookup(df, "p", {"a": "A"})) == rows(df.withColumn("p", recode(F.col("p"), {"a": "A"})))
 
 
-def test_complete_cells(cells, rows):
-    done = gr.complete_cells(cells, ["g"], "level", LEVELS, {"n": 0})
+@pytest.mark.parametrize("side_by_side", [90, 0])
+def test_complete_cells(cells, rows, monkeypatch, side_by_side):
+    monkeypatch.setattr(gr, "MAX_SIDE_BY_SIDE", side_by_side)
+    done = gr.complete_cells(cells, ["g"], "level", LEVELS)
     assert rows(done) == [
         (None, "High", 0), (None, "Low", 4), (None, "Mid", 0),
-        ("a", "High", 0), ("a", "Low", 2), ("a", "Mid", 0), ("a", "odd", 1),
+        ("a", None, 1), ("a", "High", 0), ("a", "Low", 2), ("a", "Mid", 0),
         ("b", None, 5), ("b", "High", 3), ("b", "Low", 0), ("b", "Mid", 0)]
-    assert rows(gr.complete_cells(done, ["g"], "level", LEVELS, {"n": 0})) == rows(done)
+    assert rows(gr.complete_cells(done, ["g"], "level", LEVELS)) == rows(done)
 
 
-def test_complete_cells_exact_grid_and_fill(spark, rows):
-    df = spark.createDataFrame([("a", "Low", None, "x"), ("b", "High", 1, "y")], "g string, level string, n long, note string")
-    done = rows(gr.complete_cells(df, ["g"], "level", LEVELS, {"n": 0}))
-    assert done == [("a", "High", 0, None), ("a", "Low", 0, "x"), ("a", "Mid", 0, None),
-                    ("b", "High", 1, "y"), ("b", "Low", 0, None), ("b", "Mid", 0, None)]
+@pytest.mark.parametrize("side_by_side", [90, 0])
+def test_complete_cells_fills_missing_values(spark, rows, monkeypatch, side_by_side):
+    monkeypatch.setattr(gr, "MAX_SIDE_BY_SIDE", side_by_side)
+    df = spark.createDataFrame([("a", "Low", None), ("b", "High", 1)], "g string, level string, n long")
+    assert rows(gr.complete_cells(df, ["g"], "level", LEVELS)) == [
+        ("a", "High", 0), ("a", "Low", 0), ("a", "Mid", 0), ("b", "High", 1), ("b", "Low", 0), ("b", "Mid", 0)]
 
 
 @pytest.mark.parametrize("size", [1, 61, 62, 63, 125])
@@ -78,7 +81,7 @@ def test_completion_over_mask_borders(spark, size):
 
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "g string, level string, n long")
-    assert gr.complete_cells(empty, ["g"], "level", LEVELS, {"n": 0}).count() == 0
+    assert gr.complete_cells(empty, ["g"], "level", LEVELS).count() == 0
     assert gr.densify(empty, ["g"], "level", LEVELS).count() == 0
     assert gr.key_grid(empty, ["g"], "level", LEVELS).count() == 0
     assert sh.share_in_group(empty, "n", ["g"]).count() == 0
@@ -252,3 +255,11 @@ def test_results_do_not_depend_on_partitions(spark, items, rows, parts):
                 lambda df: gr.densify(df, ["zona"], "p", LEVELS),
                 lambda df: sh.share_in_group(ct.count_rows(df, "zona", "p"), "n", ["zona"])):
         assert rows(run(spread)) == rows(run(items))
+
+
+def test_quoted_list_is_whole_or_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ct, "MAX_LISTED", 3)
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "s string")
+    assert ct.quoted_list(df, "s", "l").collect()[0].l == "c('a', 'b', 'c')"
+    with pytest.raises(Exception, match="more than 3 values of s"):
+        ct.quoted_list(df.union(df.limit(1).select(F.lit("d"))), "s", "l").collect()

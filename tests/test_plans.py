@@ -54,6 +54,13 @@ def test_shares_read_the_raw_rows_once(spark):
     assert "ReusedExchange" in plan(donut, run=True)
 
 
+def test_completion_reads_the_raw_rows_once(spark):
+    orders = b.table(spark, SF_DIR, "orders")
+    cells = count_rows(orders, "o_orderstatus", "o_orderpriority")
+    text = plan(gr.complete_cells(cells, ["o_orderstatus"], "o_orderpriority", b.PRIORITY_LEVELS))
+    assert text.count("FileScan") == 1 and "Join" not in text
+
+
 def test_pivot_shuffles_once(spark):
     from surveyloom.operators.reshape import pivot_wide
 
