@@ -71,7 +71,7 @@ def _bucket(value: Column, bounds: list[float], na_from: float, null_from: float
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four items side by side: one interview per order line, the supplier answers."""
-    hundredths = lambda name: F.round(F.col(name) * 100).cast("int")
+    hundredths = lambda name: F.floor(F.col(name) * 100 + 0.5).cast("int")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber",
         _bucket(F.col("l_quantity"), [10, 20, 30, 40], 49, 50).alias("quantity"),

@@ -29,7 +29,7 @@ def _raw(value: str, b1, b2, b3, b4, na: str, null: str) -> str:
             f"WHEN {value} <= {b4} THEN 'more' ELSE 'much more' END")
 
 
-DISCOUNT, TAX = "CAST(round(l_discount * 100) AS INTEGER)", "CAST(round(l_tax * 100) AS INTEGER)"
+DISCOUNT, TAX = "CAST(floor(l_discount * 100 + 0.5) AS INTEGER)", "CAST(floor(l_tax * 100 + 0.5) AS INTEGER)"
 ANSWERS = f"""answers AS (
   SELECT l_suppkey AS id, l_orderkey, l_linenumber,
     {_raw('l_quantity', 10, 20, 30, 40, 'l_quantity >= 49', 'l_quantity >= 50')} AS quantity,

@@ -42,24 +42,24 @@ def _zoned_customers(spark, d) -> DataFrame:
     return b.customer_profile(spark, d).withColumn("zona", lv.rollup(F.col("port"), b.ZONES))
 
 
-def _zoned_answers(spark, d) -> DataFrame:
-    return sv.with_zone(b.answers(spark, d), b.supplier_profile(spark, d), "id", "port", b.ZONES)
+def _customers(spark, d) -> sv.Places:
+    return sv.Places(b.customer_profile(spark, d), "id", "port", b.ZONES)
 
 
-def _zoned_opinions(spark, d) -> DataFrame:
-    return sv.with_zone(b.opinions(spark, d), b.customer_profile(spark, d), "id", "port", b.ZONES)
+def _suppliers(spark, d) -> sv.Places:
+    return sv.Places(b.supplier_profile(spark, d), "id", "port", b.ZONES)
 
 
-def _zoned_reports(spark, d) -> DataFrame:
-    return sv.with_zone(b.reports(spark, d), b.supplier_profile(spark, d), "id", "port", b.ZONES)
+def _zoned_opinions(spark, d) -> DataFrame:
+    return _customers(spark, d).attach(b.opinions(spark, d))
 
 
 def _level_answers(spark, d) -> DataFrame:
-    return co.apply_columns(_zoned_answers(spark, d), b.ITEMS, lv.answer_level(b.ANSWERS, b.LEVELS))
+    return co.apply_columns(b.answers(spark, d), b.ITEMS, lv.answer_level(b.ANSWERS, b.LEVELS))
 
 
 def _zone_item_counts(spark, d) -> DataFrame:
-    return lk.level_counts(_level_answers(spark, d), b.ITEMS, b.LEVELS, ["zona"])
+    return sv.likert_by_zone(b.answers(spark, d), _suppliers(spark, d), b.ITEMS, b.ANSWERS, b.LEVELS)
 
 
 # ---- sources and sinks -------------------------------------------------------------------
@@ -456,8 +456,8 @@ def share_in_group(spark, d):
 
 @query
 def share_external_denominator(spark, d):
-    flags = rs.pivot_wide(ct.count_rows(_zoned_reports(spark, d), "zona", "abundancia"), ["zona"], "abundancia", "n",
-                          ["A", "R"])
+    zoned = _suppliers(spark, d).attach(b.reports(spark, d))
+    flags = rs.pivot_wide(ct.count_rows(zoned, "zona", "abundancia"), ["zona"], "abundancia", "n", ["A", "R"])
     return sh.share_of(flags, ["A", "R"], b.denominators(spark, d), "zona", "respondents")
 
 
@@ -483,7 +483,7 @@ def likert_grouped(spark, d):
 
 @query
 def likert_theme_subset(spark, d):
-    frame = _level_answers(spark, d).select("zona", *b.ITEMS)
+    frame = _suppliers(spark, d).attach(_level_answers(spark, d)).select("zona", *b.ITEMS)
     theme = co.names_at(frame, [2, range(4, 6)])
     return lk.level_shares(lk.level_counts(frame, theme, b.LEVELS, ["zona"]), b.LEVELS)
 
@@ -616,29 +616,29 @@ def qa_coverage_bands(spark, d):
 
 @query
 def qb_likert_by_zone(spark, d):
-    return sv.likert_by_zone(_zoned_answers(spark, d), b.ITEMS, b.ANSWERS, b.LEVELS)
+    return lk.level_shares(_zone_item_counts(spark, d), b.LEVELS)
 
 
 @query
 def qc_heatmap_cells(spark, d):
-    return sv.heatmap_cells(_zoned_answers(spark, d), b.ITEMS, b.ANSWERS, b.LEVELS)
+    return sv.heatmap_cells(b.answers(spark, d), _suppliers(spark, d), b.ITEMS, b.ANSWERS, b.LEVELS)
 
 
 @query
 def qd_species_change(spark, d):
-    return sv.species_change(_zoned_reports(spark, d), b.denominators(spark, d), "sp_cien", "abundancia",
-                             b.ABUNDANCE, b.SPECIES, "respondents")
+    return sv.species_change(b.reports(spark, d), _suppliers(spark, d), b.denominators(spark, d), "sp_cien",
+                             "abundancia", b.ABUNDANCE, b.SPECIES, "respondents")
 
 
 @query
 def qd_species_shortlist(spark, d):
-    return sv.species_change(_zoned_reports(spark, d), b.denominators(spark, d), "sp_cien", "abundancia",
-                             b.ABUNDANCE, b.SPECIES, "respondents", shortlist=b.SHORTLIST)
+    return sv.species_change(b.reports(spark, d), _suppliers(spark, d), b.denominators(spark, d), "sp_cien",
+                             "abundancia", b.ABUNDANCE, b.SPECIES, "respondents", shortlist=b.SHORTLIST)
 
 
 def _rotation(spark, d, keep: bool) -> DataFrame:
-    return sv.gear_rotation(b.trips(spark, d), b.customer_profile(spark, d), "id", "mes", b.GEARS, b.MONTHS,
-                            "port", b.ZONES, gear_labels=b.GEAR_LABELS, added_rows_keep_zone=keep)
+    return sv.gear_rotation(b.trips(spark, d), _customers(spark, d), "mes", b.GEARS, b.MONTHS,
+                            gear_labels=b.GEAR_LABELS, added_rows_keep_zone=keep)
 
 
 @query
@@ -653,5 +653,5 @@ def qe_gear_rotation_parity(spark, d):
 
 @query
 def qf_pie_donut(spark, d):
-    return sv.pie_donut_by_zone(_zoned_opinions(spark, d), "answer", "sub_answer",
+    return sv.pie_donut_by_zone(b.opinions(spark, d), _customers(spark, d), "answer", "sub_answer",
                                 of_whole=["South-West", "East Islands"])

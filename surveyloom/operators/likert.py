@@ -1,7 +1,7 @@
 """Likert summaries.
 
-``level_counts`` reads the answers once and returns one row per group and item with
-a count for each level; its size depends on the groups and items only. Percentages,
+``level_counts`` reads the answers once and returns one row per group and item with a
+count for each level; its size depends on the groups and items only. Percentages,
 low/neutral/high, mean and spread, bar offsets and densities are arithmetic on that
 row, so they need no further shuffle, and levels nobody chose are there with 0.
 Answers that are NULL or not listed do not count.
@@ -18,47 +18,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.levels import answer_ordinal, ratio
-from surveyloom.operators.columns import named
+from surveyloom.operators.columns import apply_columns, named
 from surveyloom.operators.grids import MAX_SIDE_BY_SIDE
 
 
-def level_counts(df: DataFrame, items: Sequence[str], levels: Sequence[str], by: Sequence[str] = (),
-                 labels: Mapping[str, str] | None = None,
+def code_answers(df: DataFrame, items: Sequence[str], levels: Sequence[str],
                  mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per group and item: ``by..., item, n_1 ... n_k``.
+    """Put the ordinal of its level in place of each answer; NULL if it has none.
 
     With ``mapping`` the answers are raw ones, and an answer it leaves alone stands for
-    itself.
+    itself. Code the answers before a join: small numbers are shuffled, not texts.
+    """
+    return apply_columns(df, items, answer_ordinal(mapping or {}, levels))
+
+
+def code_counts(coded: DataFrame, items: Sequence[str], k: int, by: Sequence[str] = (),
+                labels: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per group and item from coded answers: ``by..., item, n_1 ... n_k``.
 
-    Each answer is turned into its ordinal once, and all items are counted side by
-    side, so the rows are not multiplied by the number of items before they are
-    aggregated. Blocks too wide for one generated loop (``MAX_SIDE_BY_SIDE`` counts) go
-    through rows of single answers instead.
+    All items are counted side by side, so the rows are not multiplied by the number of
+    items before they are aggregated. Blocks too wide for one generated loop
+    (``MAX_SIDE_BY_SIDE`` counts) go through rows of single answers instead.
     """
-    code = answer_ordinal(mapping or {}, levels)
     keys = [named(b) for b in by]
-    names = [(labels or {}).get(item, item) for item in items]
-    coded = df.select(*keys, *[code(named(item)).alias(f"__item_{j}") for j, item in enumerate(items)])
+    names = {item: (labels or {}).get(item, item) for item in items}
 
-    def counts(answer: str) -> list[Column]:
-        return [F.count(F.when(F.col(answer) == i, 1)) for i in range(1, len(levels) + 1)]
+    def counts(code: Column) -> list[Column]:
+        return [F.count(F.when(code == i, 1)) for i in range(1, k + 1)]
 
-    if len(items) * len(levels) > MAX_SIDE_BY_SIDE:
-        renamed = coded.withColumnsRenamed({f"__item_{j}": name for j, name in enumerate(names)})
-        long = renamed.unpivot(keys, [named(name) for name in names], "item", "__answer")
-        cells = [c.alias(f"n_{i}") for i, c in enumerate(counts("__answer"), start=1)]
+    if len(items) * k > MAX_SIDE_BY_SIDE:
+        long = coded.select(*keys, *[named(old).alias(new) for old, new in names.items()])
+        long = long.unpivot(keys, [named(new) for new in names.values()], "item", "__code")
+        cells = [c.alias(f"n_{i}") for i, c in enumerate(counts(F.col("__code")), start=1)]
         return long.groupBy(*keys, "item").agg(*cells)
 
     wide, rows = [], []
-    for j, name in enumerate(names):
+    for j, (item, name) in enumerate(names.items()):
         row = [F.lit(name).alias("item")]
-        for i, count in enumerate(counts(f"__item_{j}"), start=1):
+        for i, count in enumerate(counts(named(item)), start=1):
             wide.append(count.alias(f"__n_{j}_{i}"))
             row.append(F.col(f"__n_{j}_{i}").alias(f"n_{i}"))
         rows.append(F.struct(*row))
     return coded.groupBy(*keys).agg(*wide).select(*keys, F.inline(F.array(*rows)))
 
 
+def level_counts(df: DataFrame, items: Sequence[str], levels: Sequence[str], by: Sequence[str] = (),
+                 labels: Mapping[str, str] | None = None,
+                 mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """Code the answers, then count them."""
+    needed = df.select(*[named(n) for n in [*by, *items]])
+    return code_counts(code_answers(needed, items, levels, mapping), items, len(levels), by, labels)
+
+
 def _n(numbers) -> Column:
     """Sum of the counts of the given levels; 0 if there are none."""
     return reduce(add, [F.col(f"n_{i}") for i in numbers], F.lit(0).cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,28 +13,39 @@ from surveyloom.functions.levels import (
     band,
     mirror,
     ratio,
-    raw_answers,
     relabel,
     rollup,
 )
 from surveyloom.operators.columns import flag_empty_rows, named, row_sum
 from surveyloom.operators.grids import densify, explode_domain
 from surveyloom.operators.joins import left_join
-from surveyloom.operators.likert import level_counts, level_shares
-from surveyloom.operators.rows import drop_na_text, keep_in
+from surveyloom.operators.likert import code_answers, code_counts, level_shares
+from surveyloom.operators.rows import drop_incomplete, drop_na_text, keep_in
 from surveyloom.operators.counts import sum_or_zero
 from surveyloom.operators.shares import pie_donut
 
 
-def with_zone(answers: DataFrame, profile: DataFrame, key: str, place: str, zones: Groups,
-              default: str = "otro", zone: str = "zona", null_safe: bool = False) -> DataFrame:
-    """Look up each respondent's place and zone; without a profile the zone is ``default``.
+@dataclass(frozen=True)
+class Places:
+    """Where respondents belong: a profile with their place, and the zones of places."""
 
-    The places are rolled up before the join, once per respondent and not per answer.
-    """
-    places = profile.select(named(key), named(place), rollup(named(place), zones, default).alias(zone))
-    joined = left_join(answers, places, key, null_safe)
-    return joined.withColumn(zone, F.coalesce(named(zone), F.lit(default)))
+    profile: DataFrame
+    key: str
+    place: str
+    zones: Groups
+    default: str = "otro"
+    zone: str = "zona"
+    null_safe: bool = False
+
+    def zone_of(self) -> DataFrame:
+        """Key, place and zone; rolled up once per respondent and not per answer."""
+        place = named(self.place)
+        return self.profile.select(named(self.key), place, rollup(place, self.zones, self.default).alias(self.zone))
+
+    def attach(self, answers: DataFrame) -> DataFrame:
+        """Add place and zone to each answer; without a profile the zone is the default."""
+        joined = left_join(answers, self.zone_of(), self.key, self.null_safe)
+        return joined.withColumn(self.zone, F.coalesce(named(self.zone), F.lit(self.default)))
 
 
 def coverage_bands(sites: DataFrame, x: str, y: str, part: str, whole: str,
@@ -45,36 +57,37 @@ def coverage_bands(sites: DataFrame, x: str, y: str, part: str, whole: str,
             .withColumn("band", band(F.col("percent"), low, high)))
 
 
-def likert_by_zone(zoned: DataFrame, items: Sequence[str], mapping: Mapping[str, str],
-                   levels: Sequence[str], zone: str = "zona",
-                   labels: Mapping[str, str] | None = None) -> DataFrame:
-    """Percent of each level by zone and item; a NULL answer is left out of its own item only."""
-    return level_shares(level_counts(zoned, items, levels, [zone], labels, mapping), levels)
+def likert_by_zone(answers: DataFrame, places: Places, items: Sequence[str], mapping: Mapping[str, str],
+                   levels: Sequence[str], labels: Mapping[str, str] | None = None) -> DataFrame:
+    """Level counts by zone and item; a missing answer is left out of its own item only."""
+    coded = code_answers(answers.select(named(places.key), *[named(i) for i in items]), items, levels, mapping)
+    return code_counts(places.attach(coded), items, len(levels), [places.zone], labels)
 
 
-def heatmap_cells(zoned: DataFrame, items: Sequence[str], mapping: Mapping[str, str],
-                  levels: Sequence[str], zone: str = "zona",
-                  labels: Mapping[str, str] | None = None) -> DataFrame:
+def heatmap_cells(answers: DataFrame, places: Places, items: Sequence[str], mapping: Mapping[str, str],
+                  levels: Sequence[str], labels: Mapping[str, str] | None = None) -> DataFrame:
     """Zone by level cells of every item, from respondents who answered all items."""
-    valid = [raw for raws in raw_answers(mapping, levels).values() for raw in raws]
-    for item in items:
-        zoned = keep_in(zoned, item, valid)
-    return level_shares(level_counts(zoned, items, levels, [zone], labels, mapping), levels, n="count")
+    coded = code_answers(answers.select(named(places.key), *[named(i) for i in items]), items, levels, mapping)
+    complete = drop_incomplete(coded, items)
+    counts = code_counts(places.attach(complete), items, len(levels), [places.zone], labels)
+    return level_shares(counts, levels, n="count")
 
 
-def species_change(zoned: DataFrame, denominators: DataFrame, species: str, direction: str,
+def species_change(reports: DataFrame, places: Places, denominators: DataFrame, species: str, direction: str,
                    mapping: Mapping[str, str], listed: Sequence[str], total: str,
-                   down: str = "Decrease", up: str = "Increase", zone: str = "zona",
+                   down: str = "Decrease", up: str = "Increase",
                    shortlist: Sequence[str] | None = None) -> DataFrame:
     """Signed percent of respondents who saw each listed species fall or rise.
 
     ``denominators`` holds the respondents per zone and decides which zones appear.
     Every listed species has a row, also if nobody named it; others are left out.
     """
+    zone = places.zone
     wanted = list(listed) if shortlist is None else [s for s in listed if s in set(shortlist)]
-    reports = keep_in(drop_na_text(zoned, species, direction), species, wanted)
+    changed = [raw for raw, new in mapping.items() if new in (down, up)]
+    reported = keep_in(keep_in(drop_na_text(reports, species, direction), species, wanted), direction, changed)
     way = relabel(named(direction), mapping)
-    counts = reports.groupBy(named(zone), named(species)).agg(
+    counts = places.attach(reported).groupBy(named(zone), named(species)).agg(
         F.count_if(way == down).alias("__down"), F.count_if(way == up).alias("__up"))
     grid = explode_domain(denominators.select(named(zone), named(total)), species, wanted)
     cells = left_join(grid, counts, [zone, species])
@@ -88,11 +101,9 @@ def species_change(zoned: DataFrame, denominators: DataFrame, species: str, dire
                         F.inline(F.array(bar(down, "__down"), bar(up, "__up"))))
 
 
-def gear_rotation(trips: DataFrame, profile: DataFrame, key: str, month: str, gears: Sequence[str],
-                  months: Mapping[str, str], place: str, zones: Groups, default: str = "otro",
+def gear_rotation(trips: DataFrame, places: Places, month: str, gears: Sequence[str], months: Mapping[str, str],
                   gear_labels: Mapping[str, str] | None = None, no_fishing: str = "No Fishing",
-                  zone: str = "zona", added_rows_keep_zone: bool = True,
-                  null_safe: bool = False) -> DataFrame:
+                  added_rows_keep_zone: bool = True) -> DataFrame:
     """Share of each gear by zone and month, with a "no fishing" share.
 
     Each respondent gets a row for every month; a month without any gear counts as
@@ -102,15 +113,16 @@ def gear_rotation(trips: DataFrame, profile: DataFrame, key: str, month: str, ge
     The gears are summed side by side before they become rows, so the trips are not
     multiplied by the number of gears.
     """
+    key, zone, null_safe = places.key, places.zone, places.null_safe
     labelled = trips.withColumn(month, relabel(named(month), months))
     domain = list(months.values())
-    zone_of = profile.select(named(key), rollup(named(place), zones, default).alias(zone))
     if added_rows_keep_zone:
-        dense = densify(labelled, [key], month, domain, zone_of, key, null_safe)
-        dense = dense.withColumn(zone, F.coalesce(named(zone), F.lit(default)))
+        dense = densify(labelled, [key], month, domain, places.zone_of().drop(places.place), key, null_safe)
+        dense = dense.withColumn(zone, F.coalesce(named(zone), F.lit(places.default)))
     else:
-        zoned = with_zone(labelled, profile, key, place, zones, default, zone, null_safe).drop(place)
-        dense = densify(zoned, [key], month, domain, profile.select(named(key), named(place)), key, null_safe)
+        zoned = places.attach(labelled).drop(places.place)
+        place_of = places.profile.select(named(key), named(places.place))
+        dense = densify(zoned, [key], month, domain, place_of, key, null_safe)
 
     flagged = flag_empty_rows(dense, gears, "__none")
     sums = sum_or_zero(flagged, [zone, month], [*gears, "__none"])
@@ -123,11 +135,12 @@ def gear_rotation(trips: DataFrame, profile: DataFrame, key: str, month: str, ge
     return totals.select(named(zone), named(month), F.inline(F.array(*rows)))
 
 
-def pie_donut_by_zone(zoned: DataFrame, answer: str, sub_answer: str, zone: str = "zona",
+def pie_donut_by_zone(answers: DataFrame, places: Places, answer: str, sub_answer: str,
                       of_whole: Sequence[str] = ()) -> DataFrame:
     """Shares of answers and sub-answers per zone.
 
     Zones in ``of_whole`` show the outer share of the whole zone, others within the answer.
     """
-    within = ~F.coalesce(named(zone).isin(list(of_whole)), F.lit(False)) if of_whole else True
-    return pie_donut(drop_na_text(zoned, answer), [zone], answer, sub_answer, within)
+    zone = named(places.zone)
+    within = ~F.coalesce(zone.isin(list(of_whole)), F.lit(False)) if of_whole else True
+    return pie_donut(places.attach(drop_na_text(answers, answer)), [places.zone], answer, sub_answer, within)

@@ -24,8 +24,13 @@ from surveyloom.plans import survey
 Tables = Mapping[str, DataFrame]
 
 
-def _zoned(tables: Tables, sheet: str) -> DataFrame:
-    return survey.with_zone(tables[sheet], tables["A_perfil"], "ID", "cofradia", d.ZONES, null_safe=True)
+def _places(tables: Tables) -> survey.Places:
+    return survey.Places(tables["A_perfil"], "ID", "cofradia", d.ZONES, null_safe=True)
+
+
+def _labelled(df: DataFrame, item_range: tuple[str, str], labels: Sequence[str]) -> dict[str, str]:
+    """Item columns of a block, with their printed labels."""
+    return dict(zip(name_range(df, *item_range), labels, strict=True))
 
 
 def coverage(tables: Tables, inventory: str = "emb_inv_2022") -> DataFrame:
@@ -34,33 +39,35 @@ def coverage(tables: Tables, inventory: str = "emb_inv_2022") -> DataFrame:
 
 
 def interviews_per_zone(tables: Tables) -> DataFrame:
-    return count_rows(_zoned(tables, "E_ambiental"), "zona", name="recuento")
+    return count_rows(_places(tables).attach(tables["E_ambiental"]), "zona", name="recuento")
 
 
 def conflict_answers(tables: Tables) -> DataFrame:
     """Zone and the recoded conflict items, as a clean table to be written out."""
-    frame = select_range(_zoned(tables, "E_ambiental"), ["zona"], *d.CONFLICT_RANGE)
+    zoned = _places(tables).attach(tables["E_ambiental"])
+    frame = select_range(zoned, ["zona"], *d.CONFLICT_RANGE)
     return apply_columns(frame, frame.columns[1:], answer_level(d.CONFLICT_ANSWERS, d.CONFLICT_LEVELS))
 
 
 def conflict_counts(tables: Tables, theme: str | None = None, by_zone: bool = True) -> DataFrame:
     """Level counts of the conflict items, or of one theme's items."""
-    zoned = _zoned(tables, "E_ambiental")
-    items = name_range(zoned, *d.CONFLICT_RANGE)
-    labels = dict(zip(items, d.CONFLICT_LABELS, strict=True))
+    answers = tables["E_ambiental"]
+    labels = _labelled(answers, d.CONFLICT_RANGE, d.CONFLICT_LABELS)
+    items = list(labels)
     if theme is not None:
-        items = names_at(zoned.select("zona", *[named(i) for i in items]), d.CONFLICT_THEMES[theme])
-    return likert.level_counts(zoned, items, d.CONFLICT_LEVELS, ["zona"] if by_zone else [], labels,
-                               d.CONFLICT_ANSWERS)
+        items = names_at(answers.select("ID", *[named(i) for i in items]), d.CONFLICT_THEMES[theme])
+    if not by_zone:
+        return likert.level_counts(answers, items, d.CONFLICT_LEVELS, [], labels, d.CONFLICT_ANSWERS)
+    return survey.likert_by_zone(answers, _places(tables), items, d.CONFLICT_ANSWERS, d.CONFLICT_LEVELS, labels)
 
 
 def change_counts(tables: Tables, by_zone: bool = True) -> DataFrame:
     """Level counts of the environment items."""
-    zoned = _zoned(tables, "E_ambiental")
-    items = name_range(zoned, *d.CHANGE_RANGE)
-    labels = dict(zip(items, d.CHANGE_LABELS, strict=True))
-    return likert.level_counts(zoned, items, d.CHANGE_LEVELS, ["zona"] if by_zone else [], labels,
-                               d.CHANGE_ANSWERS)
+    answers = tables["E_ambiental"]
+    labels = _labelled(answers, d.CHANGE_RANGE, d.CHANGE_LABELS)
+    if not by_zone:
+        return likert.level_counts(answers, list(labels), d.CHANGE_LEVELS, [], labels, d.CHANGE_ANSWERS)
+    return survey.likert_by_zone(answers, _places(tables), list(labels), d.CHANGE_ANSWERS, d.CHANGE_LEVELS, labels)
 
 
 def likert_tables(counts: DataFrame, levels: Sequence[str], bandwidth: float = 0.5) -> dict[str, DataFrame]:
@@ -78,19 +85,18 @@ def likert_tables(counts: DataFrame, levels: Sequence[str], bandwidth: float = 0
 
 def heatmaps(tables: Tables) -> DataFrame:
     """Zone by level cells of all environment items, with the printed label."""
-    zoned = _zoned(tables, "E_ambiental")
-    items = name_range(zoned, *d.CHANGE_RANGE)
-    labels = dict(zip(items, d.CHANGE_LABELS, strict=True))
-    cells = survey.heatmap_cells(zoned, items, d.CHANGE_ANSWERS, d.CHANGE_LEVELS, labels=labels)
+    answers = tables["E_ambiental"]
+    labels = _labelled(answers, d.CHANGE_RANGE, d.CHANGE_LABELS)
+    cells = survey.heatmap_cells(answers, _places(tables), list(labels), d.CHANGE_ANSWERS, d.CHANGE_LEVELS, labels)
     return cells.withColumn("label", percent_label(F.col("percent")))
 
 
 def species(tables: Tables, shortlist: bool = False) -> DataFrame:
     """Signed percent of each listed species and zone."""
-    zoned = _zoned(tables, "C_especies")
-    respondents = literal_table(zoned.sparkSession, "zona string, respondents long", d.RESPONDENTS)
-    return survey.species_change(zoned, respondents, "sp_cien", "abundancia", d.ABUNDANCE, d.SPECIES,
-                                 "respondents", shortlist=d.SHORTLIST if shortlist else None)
+    reports = tables["C_especies"]
+    respondents = literal_table(reports.sparkSession, "zona string, respondents long", d.RESPONDENTS)
+    return survey.species_change(reports, _places(tables), respondents, "sp_cien", "abundancia", d.ABUNDANCE,
+                                 d.SPECIES, "respondents", shortlist=d.SHORTLIST if shortlist else None)
 
 
 def rotation(tables: Tables, added_rows_keep_zone: bool = True) -> DataFrame:
@@ -101,9 +107,8 @@ def rotation(tables: Tables, added_rows_keep_zone: bool = True) -> DataFrame:
     """
     trips = tables["B_rotacion"].withColumnRenamed("linea_mano_11", "linea_mano")
     trips = trips.select("ID", "mes", *[named(g) for g in d.GEARS])
-    shares = survey.gear_rotation(trips, tables["A_perfil"], "ID", "mes", list(d.GEARS), d.MONTHS, "cofradia",
-                                  d.ZONES, gear_labels=d.GEARS, no_fishing=d.NO_FISHING,
-                                  added_rows_keep_zone=added_rows_keep_zone, null_safe=True)
+    shares = survey.gear_rotation(trips, _places(tables), "mes", list(d.GEARS), d.MONTHS, gear_labels=d.GEARS,
+                                  no_fishing=d.NO_FISHING, added_rows_keep_zone=added_rows_keep_zone)
     return shares.withColumn("ordinal", ordinal(F.col("fishing_method"), d.GEAR_LEVELS))
 
 
@@ -112,12 +117,13 @@ def donut_answers(tables: Tables) -> DataFrame:
     asked = ["Q19_efecto_now", "Q19_efecto_now_tipo", "Q19_efecto_now_exp", "Q20_efecto_fut",
              "Q20_efecto_fut_tipo", "Q20_efecto_fut_exp", "Q22_cc_sp", "Q22_cc_sp_exp", "Q23_cc_now",
              "Q23_cc_now_exp", "Q24_cc_fut", "Q24_cc_fut_exp"]
-    return _zoned(tables, "E_ambiental").select("ID", *asked, "cofradia", "zona")
+    return _places(tables).attach(tables["E_ambiental"].select("ID", *asked)).select("ID", *asked, "cofradia", "zona")
 
 
 def donuts(tables: Tables) -> DataFrame:
     """Shares of the present climate effects and their kinds by zone."""
-    return survey.pie_donut_by_zone(_zoned(tables, "E_ambiental"), "Q19_efecto_now", "Q19_efecto_now_tipo",
+    answers = tables["E_ambiental"].select("ID", "Q19_efecto_now", "Q19_efecto_now_tipo")
+    return survey.pie_donut_by_zone(answers, _places(tables), "Q19_efecto_now", "Q19_efecto_now_tipo",
                                     of_whole=d.DONUTS_OF_WHOLE)
 
 

@@ -108,7 +108,7 @@ def test_hot_join_key_is_split(spark, rows):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        zoned = sv.with_zone(facts, profile, "ID", "port", {"even": [str(i) for i in range(0, 20, 2)]})
+        zoned = sv.Places(profile, "ID", "port", {"even": [str(i) for i in range(0, 20, 2)]}).attach(facts)
         df = zoned.groupBy("zona").agg(F.count("note").alias("n"))
         got = rows(df)
         assert "skew=true" in plan(df)
