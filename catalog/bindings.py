@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.functions.levels import rollup
-from surveyloom.operators.counts import count_rows
+from surveyloom.operators.counts import count_distinct
 from surveyloom.sources.tables import load_table
 
 ZONES = {
@@ -123,4 +123,4 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Respondents per zone, for the named zones only."""
     zoned = supplier_profile(spark, sf_dir).withColumn("zona", rollup(F.col("port"), ZONES))
-    return count_rows(zoned.filter(F.col("zona") != "otro"), "zona", name="respondents")
+    return count_distinct(zoned.filter(F.col("zona") != "otro"), "zona", of="id", name="respondents")

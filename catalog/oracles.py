@@ -250,6 +250,8 @@ ORACLES: dict[str, str] = {
         AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag""",
     "share_in_group": f"""WITH {OPINIONS}, cells AS (SELECT zona, sub_answer, count(*) AS n FROM zoned GROUP BY ALL)
         SELECT zona, sub_answer, n AS count, n::DOUBLE / (sum(n) OVER (PARTITION BY zona))::DOUBLE * 100 AS percent FROM cells""",
+    "respondents_per_zone": f"""WITH {OPINIONS} SELECT zona, count(DISTINCT id) AS respondents FROM zoned
+        WHERE answer = 'F' GROUP BY zona""",
     "share_external_denominator": f"""WITH {REPORTS}, c AS (SELECT zona, count(*) FILTER (WHERE abundancia = 'A') AS a,
           count(*) FILTER (WHERE abundancia = 'R') AS r FROM zoned GROUP BY zona)
         SELECT c.zona, a::DOUBLE / nullif(respondents, 0)::DOUBLE * 100 AS "A",

@@ -454,6 +454,12 @@ def share_in_group(spark, d):
     return sh.share_in_group(_level_cells(spark, d), "count", ["zona"])
 
 
+@query
+def respondents_per_zone(spark, d):
+    zoned = _customers(spark, d).attach(b.opinions(spark, d).filter(F.col("answer") == "F"))
+    return ct.count_distinct(zoned, "zona", of="id", name="respondents")
+
+
 @query
 def share_external_denominator(spark, d):
     zoned = _suppliers(spark, d).attach(b.reports(spark, d))

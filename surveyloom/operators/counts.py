@@ -19,6 +19,15 @@ def count_rows(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return df.groupBy(*[named(b) for b in by]).agg(F.count(F.lit(1)).alias(name))
 
 
+def count_distinct(df: DataFrame, *by: str, of: str, name: str = "n") -> DataFrame:
+    """Distinct values per group, such as respondents per zone; NULL does not count.
+
+    Values are made distinct per group before they are counted, so a large group is
+    spread over its values.
+    """
+    return df.groupBy(*[named(b) for b in by]).agg(F.count_distinct(named(of)).alias(name))
+
+
 def reaggregate(cells: DataFrame, *by: str, value: str, name: str) -> DataFrame:
     """Roll counted cells up to fewer keys."""
     return cells.groupBy(*[named(b) for b in by]).agg(F.sum(named(value)).alias(name))

@@ -87,7 +87,7 @@ def complete_cells(cells: DataFrame, by: Sequence[str], level: str, levels: Sequ
 
 def densify(facts: DataFrame, keys: Sequence[str], column: str, domain: Sequence[str],
             attributes: DataFrame | None = None, on: str | None = None,
-            null_safe: bool = False) -> DataFrame:
+            null_safe: bool = False, present: DataFrame | None = None) -> DataFrame:
     """One row per key and domain value; the added rows hold NULL facts.
 
     Rows whose value is not in the domain are lost, as the grid drives the result
@@ -95,8 +95,12 @@ def densify(facts: DataFrame, keys: Sequence[str], column: str, domain: Sequence
     Repeated rows of one key and value all stay. With ``attributes``, these columns
     are looked up by ``on`` for the present and the added rows alike; without, a
     column that came with the facts is NULL in the added rows.
+
+    The keys and values are read a second time to find the absent ones. If the facts
+    come from a costly plan, ``present`` names a cheaper frame with the same ones.
     """
-    added = absent_values(facts, keys, column, domain, attributes, on, null_safe)
+    source = facts if present is None else present
+    added = absent_values(source, keys, column, domain, attributes, on, null_safe)
     listed = facts.filter(named(column).isin(list(domain)))
     if attributes is not None:
         listed = left_join(listed, attributes, on, null_safe)

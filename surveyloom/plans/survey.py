@@ -122,7 +122,7 @@ def gear_rotation(trips: DataFrame, places: Places, month: str, gears: Sequence[
     else:
         zoned = places.attach(labelled).drop(places.place)
         place_of = places.profile.select(named(key), named(places.place))
-        dense = densify(zoned, [key], month, domain, place_of, key, null_safe)
+        dense = densify(zoned, [key], month, domain, place_of, key, null_safe, present=labelled)
 
     flagged = flag_empty_rows(dense, gears, "__none")
     sums = sum_or_zero(flagged, [zone, month], [*gears, "__none"])

@@ -153,6 +153,11 @@ def test_counts_treat_null_as_a_group(cells, rows):
     assert rows(ct.reaggregate(cells, "g", value="n", name="n")) == [(None, 4), ("a", 3), ("b", 8)]
 
 
+def test_count_distinct(spark, rows):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 3), ("b", None)], "g string, id int")
+    assert rows(ct.count_distinct(df, "g", of="id")) == [(None, 1), ("a", 2), ("b", 0)]
+
+
 def test_quoted_list(spark, rows):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "s string")
     assert rows(ct.quoted_list(df.dropna(), "s", "l")) == [("c('a', 'b')",)]
