@@ -18,11 +18,19 @@ from pyspark.sql import functions as F
 Groups = Mapping[str, Sequence[str]]
 
 
-def _look_up(column: Column, mapping: Mapping[str, object]) -> Column:
-    """The mapped value; NULL for NULL and for anything that is not listed."""
+def _look_up_in(mapping: Mapping[str, object]) -> Callable[[Column], Column]:
+    """The mapped value of a column; NULL for NULL and for anything that is not listed.
+
+    The map is built once, however many columns are looked up in it.
+    """
     if not mapping:
-        return F.lit(None).cast("string")
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[column]
+        return lambda column: F.lit(None).cast("string")
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return lambda column: table[column]
+
+
+def _look_up(column: Column, mapping: Mapping[str, object]) -> Column:
+    return _look_up_in(mapping)(column)
 
 
 def recode(column: Column, mapping: Mapping[str, str]) -> Column:
@@ -56,14 +64,13 @@ def raw_answers(mapping: Mapping[str, str], levels: Sequence[str]) -> dict[str,
 
 def answer_level(mapping: Mapping[str, str], levels: Sequence[str]) -> Callable[[Column], Column]:
     """Recode raw answers and keep only listed levels. For use over many columns."""
-    flat = {raw: level for level, raws in raw_answers(mapping, levels).items() for raw in raws}
-    return lambda column: _look_up(column, flat)
+    return _look_up_in({raw: level for level, raws in raw_answers(mapping, levels).items() for raw in raws})
 
 
 def answer_ordinal(mapping: Mapping[str, str], levels: Sequence[str]) -> Callable[[Column], Column]:
     """The ordinal of a raw answer's level, in one lookup."""
-    flat = {raw: i for i, raws in enumerate(raw_answers(mapping, levels).values(), start=1) for raw in raws}
-    return lambda column: _look_up(column, flat)
+    return _look_up_in({raw: i for i, raws in enumerate(raw_answers(mapping, levels).values(), start=1)
+                        for raw in raws})
 
 
 def group_of(groups: Groups) -> dict[str, str]:
