@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from surveyloom.functions.levels import ordinal
 from surveyloom.operators.columns import named
