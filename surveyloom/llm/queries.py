@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import bpe, linededup, mixing, neardup, quality
+from surveyloom.llm import bpe, chat, fingerprints, linededup, mixing, neardup, pages, passages, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,35 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return pages.extract_main_text(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def op2_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, d))
+
+
+def op3_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.format_chats(rows.unionByName(more)))
+
+
+def op4_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_documents(spark, d))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, d))
 
 
+def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, d))
+
+
 def op7_bpe_encoding(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, d), VOCABULARY)
 
@@ -47,7 +72,8 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_minhash_near_dedup, op7_bpe_encoding, op8_source_mixing, op9_quality_rules, op10_line_dedup)}
+    op1_html_extraction, op2_sharding, op3_chat_formatting, op4_document_fingerprints, op5_minhash_near_dedup,
+    op6_substring_dedup, op7_bpe_encoding, op8_source_mixing, op9_quality_rules, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op10_line_dedup": r"""
