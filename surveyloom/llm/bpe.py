@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +21,11 @@ WORD = regex.compile(
 #: Mark at the end of a word's last token; fixed by the file.
 WORD_END = "</w>"
 
-#: Words whose ids a worker remembers before it starts anew.
+#: White space as the vocabulary has it; str.split also cuts at four separators that are none.
+BLANKS = regex.compile(r"\p{White_Space}+")
+SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+
+#: Runs of letters whose ids a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 
 
@@ -58,40 +63,39 @@ class Vocabulary:
         return parts
 
     def merge(self, parts: list[str]) -> list[str]:
-        """Join the pair of lowest rank, everywhere in the fragment, until no pair has a rank."""
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), none))
-            pair = parts[best], parts[best + 1]
-            if pair not in rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        """Join the leftmost pair of lowest rank, again and again, until no pair has a rank."""
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
         return parts
 
     def word_ids(self, word: str) -> list[int]:
         return [self.ids[t] for part in self.fragments(word) for t in self.merge(part)]
 
 
-class _WordIds(dict):
-    """Ids of words met before; bounded."""
+class _Remembered(dict):
+    """Values of keys met before, in two generations of at most ``REMEMBERED`` each."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make: Callable[[str], list[int]]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, key: str) -> list[int]:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.vocabulary.word_ids(word)
-        return ids
+        self[key] = value
+        return value
 
 
 def normal(text: str) -> str:
@@ -104,10 +108,14 @@ class Encoder:
     """Whole texts to ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.words = vocabulary, _WordIds(vocabulary)
+        self.vocabulary = vocabulary
+        self.runs = _Remembered(lambda run: [i for w in WORD.findall(run) for i in vocabulary.word_ids(w)])
 
     def plain(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.words.__getitem__, WORD.findall(normal(text))))
+        """No word holds a blank, so runs between blanks are encoded one by one."""
+        text = normal(text)
+        runs = text.split() if SEPARATORS.isdisjoint(text) else BLANKS.split(text)
+        return chain.from_iterable(map(self.runs.__getitem__, runs))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Special tokens in a text are found first; what stands between them is encoded on its own."""
@@ -133,9 +141,20 @@ class Decoder:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(text: str) -> Vocabulary:
+    return Vocabulary(text)
+
+
+@lru_cache(maxsize=1)
+def _encoder(text: str) -> Encoder:
+    """One encoder for all tasks of a worker, with what it remembers."""
+    return Encoder(_vocabulary(text))
+
+
 def _encoded(sent, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(Vocabulary(sent.value))
+        encode = _encoder(sent.value)
         for batch in batches:
             found = [encode(t.as_py()) for t in batch.column(text)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
@@ -147,7 +166,7 @@ def _encoded(sent, text: str):
 
 def _decoded(sent, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(Vocabulary(sent.value))
+        decode = Decoder(_vocabulary(sent.value))
         for batch in batches:
             column = batch.column(ids)
             at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
