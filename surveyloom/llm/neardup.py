@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     by_set = reps.join(linked, F.col("rep") == F.col("node"), "left").select(
         F.col("set_hash").alias("__set"), F.coalesce("root", "rep").alias("component"))
     out = signed.join(by_set, F.col("set_hash") == F.col("__set"), "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 

@@ -14,7 +14,7 @@ def interleave(rows: DataFrame, n_shards: int, stratum: str, tie: list[str], see
     Rows are shuffled by a seeded hash and ranked within their stratum; ranks become
     fractions of the stratum, and the order of all fractions is cut into shards whose
     counts differ by at most one. A stratum with n rows has n / n_shards rows in each
-    shard, give or take one row.
+    shard, give or take less than two.
 
     Both orders are numbered bucket by bucket (``exact_rank``), so neither a hot
     stratum nor the whole table is sorted in one task. ``tie`` names columns that tell
