@@ -20,7 +20,7 @@ HEADLINE = [
     "qe_gear_rotation_parity", "qf_pie_donut", "likert_items", "ordinal_density", "complete_cells",
     "complete_cells_long_domain", "densify", "densify_attributes", "share_in_group", "share_external_denominator",
     "pivot_wide", "unpivot_long", "left_join_one", "left_join_composite", "merge_left_suffix", "rollup_zone",
-    "apply_columns", "level_domain_report", "contradictory_items", "rescale_area", "quoted_list_agg",
+    "apply_columns", "level_domain_report", "contradictory_items", "rescale_area", "quoted_values",
     "sink_csv_indexed", "sink_partitioned",
 ]
 

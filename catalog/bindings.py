@@ -20,6 +20,7 @@ ZONES = {
     "West Islands": ["NATION_11", "NATION_12", "NATION_13"],
     "East Islands": ["NATION_14", "NATION_15", "NATION_16"],
 }
+OTHER = "otro"
 ITEMS = ["quantity", "discount", "tax", "price"]
 RAW_ANSWERS = ["much less", "less", "same", "more", "much more"]
 ANSWERS = {"much less": "Very Negative", "less": "Negative", "same": "Neutral",
@@ -31,10 +32,9 @@ ABUNDANCE = {"A": "Decrease", "N": "No Change", "R": "Increase"}
 # Three names nobody reports; Brand#24 and Brand#25 are reported but not listed.
 SPECIES = [f"Brand#{i}" for i in range(1, 24)] + ["Absent#1", "Absent#2", "Absent#3"]
 SHORTLIST = ["Brand#3", "Brand#17", "Absent#2"]
-# The twelfth month is left out on purpose: its rows have an unlisted month.
 MONTHS = {str(i): name for i, name in enumerate(
     ["Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio", "Julio", "Agosto", "Septiembre",
-     "Octubre", "Noviembre"], start=1)}
+     "Octubre", "Noviembre", "Diciembre"], start=1)}
 GEARS = ["urgent", "high", "medium", "unspecified", "low"]
 GEAR_LABELS = {"urgent": "Urgent", "unspecified": "Not Specified"}
 
@@ -122,5 +122,5 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Respondents per zone, for the named zones only."""
-    zoned = supplier_profile(spark, sf_dir).withColumn("zona", rollup(F.col("port"), ZONES))
+    zoned = supplier_profile(spark, sf_dir).withColumn("zona", rollup(F.col("port"), ZONES, OTHER))
     return count_distinct(zoned.filter(F.col("zona") != "otro"), "zona", of="id", name="respondents")

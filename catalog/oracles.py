@@ -71,7 +71,7 @@ REPORTS = f"""{SUPPLIERS}, reports AS (
   zoned AS (SELECT r.*, s.zona FROM reports r LEFT JOIN suppliers s ON r.id = s.id),
   denominators AS (SELECT zona, count(*) AS respondents FROM suppliers WHERE zona <> 'otro' GROUP BY zona)"""
 MONTH_NAMES = ["Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio", "Julio", "Agosto", "Septiembre", "Octubre",
-               "Noviembre"]
+               "Noviembre", "Diciembre"]
 MONTHS = "months(m, mes) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(MONTH_NAMES, 1)) + ")"
 MONTHLY = f"""{MONTHS}, monthly AS (
   SELECT o_custkey AS id, mes, count(*)::DOUBLE AS n FROM orders LEFT JOIN months ON m = month(o_orderdate) GROUP BY ALL),
@@ -141,10 +141,9 @@ STACK = f"""WITH {OPINIONS}, cells AS (SELECT zona, answer, sub_answer, count(*)
     n::DOUBLE / (sum(n) OVER (PARTITION BY zona, answer))::DOUBLE * 1.0::DOUBLE AS share FROM cells"""
 
 ORACLES: dict[str, str] = {
-    "src_catalog": " UNION ALL ".join(f"SELECT '{t}' AS name WHERE EXISTS (SELECT 1 FROM {t})" for t in TABLES),
     "src_load_all": " UNION ALL ".join(
         f"SELECT '{t}' AS name, {c}::INTEGER AS n_columns, count(*) AS n_rows FROM {t}" for t, c in TABLES.items()),
-    "src_load_table": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+    "src_load_table": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "src_inline_table": f"""WITH {PRIORITY_LEVELS}
         SELECT level AS o_orderpriority, ordinal::INTEGER AS ordinal, 0::INTEGER AS "Decrease",
           count(o_orderkey) AS n FROM levels LEFT JOIN orders ON o_orderpriority = level GROUP BY ALL""",
@@ -214,15 +213,15 @@ ORACLES: dict[str, str] = {
         SELECT o_custkey, n_orders, 3.0::DOUBLE + 7.0::DOUBLE * sqrt(CASE WHEN hi = lo THEN 0.5::DOUBLE
           ELSE (n_orders::DOUBLE - lo) / (hi - lo) END) AS size FROM c, r""",
     "left_join_one": """SELECT o_custkey, o_orderkey, c_mktsegment FROM orders
-        LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
+        LEFT JOIN customer ON o_custkey = c_custkey""",
     "left_join_nullsafe": """SELECT nullif(o_custkey, 5)::VARCHAR AS id, o_orderkey, c_mktsegment FROM orders
         LEFT JOIN customer ON nullif(o_custkey, 5) IS NOT DISTINCT FROM nullif(c_custkey, 5)""",
-    "left_join_composite": """WITH l AS (SELECT user_id, event_type, max(value) AS largest FROM events
-          WHERE value > 150 GROUP BY ALL)
+    "left_join_composite": """WITH l AS (SELECT user_id + 1 AS user_id, event_type, max(value) AS largest FROM events
+          GROUP BY ALL)
         SELECT e.event_id, e.user_id, e.event_type, l.largest FROM events e
         LEFT JOIN l ON l.user_id = e.user_id AND l.event_type = e.event_type""",
     "merge_left_suffix": """WITH r AS (SELECT o_custkey AS id, max(o_totalprice) AS amount FROM orders
-          WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+          GROUP BY o_custkey)
         SELECT c_custkey AS id, c_acctbal AS amount_x, r.amount AS amount_y
         FROM customer LEFT JOIN r ON r.id = c_custkey ORDER BY id""",
     "key_grid": f"WITH {MONTHLY} SELECT id, mes FROM grid",
@@ -230,7 +229,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN monthly m ON m.id = g.id AND m.mes = g.mes""",
     "densify_attributes": f"""WITH {CUSTOMERS}, {MONTHLY} SELECT g.id, g.mes, m.n, c.port FROM grid g
         LEFT JOIN monthly m ON m.id = g.id AND m.mes = g.mes LEFT JOIN customers c ON c.id = g.id""",
-    "densify_lost_rows": f"WITH {MONTHLY} SELECT count(*) AS lost FROM monthly WHERE mes IS NULL",
+    "densify_lost_rows": f"WITH {MONTHLY} SELECT count(*) AS lost FROM monthly WHERE mes IS NULL OR mes = 'Diciembre'",
     "complete_cells": f"""WITH {OPINIONS}, {PRIORITY_LEVELS},
         cells AS (SELECT zona, sub_answer, count(*) AS n FROM zoned GROUP BY ALL),
         grid AS (SELECT zona, level FROM (SELECT DISTINCT zona FROM cells) CROSS JOIN levels)
@@ -251,7 +250,7 @@ ORACLES: dict[str, str] = {
     "share_in_group": f"""WITH {OPINIONS}, cells AS (SELECT zona, sub_answer, count(*) AS n FROM zoned GROUP BY ALL)
         SELECT zona, sub_answer, n AS count, n::DOUBLE / (sum(n) OVER (PARTITION BY zona))::DOUBLE * 100 AS percent FROM cells""",
     "respondents_per_zone": f"""WITH {OPINIONS} SELECT zona, count(DISTINCT id) AS respondents FROM zoned
-        WHERE answer = 'F' GROUP BY zona""",
+        GROUP BY zona""",
     "share_external_denominator": f"""WITH {REPORTS}, c AS (SELECT zona, count(*) FILTER (WHERE abundancia = 'A') AS a,
           count(*) FILTER (WHERE abundancia = 'R') AS r FROM zoned GROUP BY zona)
         SELECT c.zona, a::DOUBLE / nullif(respondents, 0)::DOUBLE * 100 AS "A",
@@ -294,11 +293,24 @@ ORACLES: dict[str, str] = {
           n::DOUBLE / (sum(n) OVER ())::DOUBLE * 100 AS donut_share FROM cells""",
     "stack_fill_share": STACK,
     "distinct_values": f"WITH {CUSTOMERS} SELECT DISTINCT zona FROM customers",
-    "quoted_list_agg": f"""WITH {REPORTS}, s AS (SELECT DISTINCT sp_cien FROM reports WHERE sp_cien <> 'NA')
-        SELECT 'c(' || string_agg('''' || sp_cien || '''', ', ' ORDER BY sp_cien || '''') || ')' AS species_list FROM s""",
+    "quoted_values": f"""WITH {REPORTS}, s AS (SELECT DISTINCT sp_cien FROM reports WHERE sp_cien <> 'NA')
+        SELECT '''' || sp_cien || '''' AS species_list FROM s""",
     "bbox_agg": f"WITH {COORDS} SELECT min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM coords",
     "bbox_agg_grouped": f"""WITH {COORDS} SELECT label, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax,
         max(lat) AS ymax FROM coords GROUP BY label""",
+    "contradictory_by_zone": f"""WITH {REPORTS} SELECT * FROM (SELECT zona, sp_cien,
+          count(*) FILTER (WHERE abundancia = 'A') AS n_down, count(*) FILTER (WHERE abundancia = 'R') AS n_up
+          FROM zoned WHERE sp_cien <> 'NA' GROUP BY ALL) WHERE n_down > 0 AND n_up > 0""",
+    "species_outside_list": f"""WITH {REPORTS} SELECT sp_cien, count(*) AS n FROM reports
+        WHERE sp_cien <> 'NA' AND sp_cien NOT IN (SELECT 'Brand#' || unnest(range(1, 24))) GROUP BY sp_cien""",
+    "likert_by_nation": f"""WITH {LEVEL_ANSWERS}, {LEVELS}, placed AS (
+          SELECT l.*, s_nationkey AS n_nation FROM levelled l JOIN supplier ON s_suppkey = l.id),
+        long AS ({" UNION ALL ".join(f"SELECT n_nation, '{i}' AS item, {i} AS level FROM placed" for i in ITEMS)}),
+        cells AS (SELECT p.n_nation, p.item, v.level, v.ordinal, (SELECT count(*) FROM long x WHERE x.n_nation = p.n_nation
+          AND x.item = p.item AND x.level = v.level) AS n
+          FROM (SELECT DISTINCT n_nation, item FROM long) p CROSS JOIN levels v)
+        SELECT n_nation, item, level, CAST(ordinal AS INTEGER) AS ordinal, CAST(n AS BIGINT) AS n,
+          n::DOUBLE / nullif(sum(n) OVER (PARTITION BY n_nation, item), 0)::DOUBLE * 100 AS percent FROM cells""",
     "contradictory_items": f"""WITH {REPORTS} SELECT * FROM (SELECT id, sp_cien,
           count(*) FILTER (WHERE abundancia = 'A') AS n_down, count(*) FILTER (WHERE abundancia = 'R') AS n_up
           FROM reports GROUP BY id, sp_cien) WHERE n_down > 0 AND n_up > 0""",

@@ -39,15 +39,15 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _zoned_customers(spark, d) -> DataFrame:
-    return b.customer_profile(spark, d).withColumn("zona", lv.rollup(F.col("port"), b.ZONES))
+    return b.customer_profile(spark, d).withColumn("zona", lv.rollup(F.col("port"), b.ZONES, b.OTHER))
 
 
 def _customers(spark, d) -> sv.Places:
-    return sv.Places(b.customer_profile(spark, d), "id", "port", b.ZONES)
+    return sv.Places(b.customer_profile(spark, d), "id", "port", b.ZONES, b.OTHER, "zona")
 
 
 def _suppliers(spark, d) -> sv.Places:
-    return sv.Places(b.supplier_profile(spark, d), "id", "port", b.ZONES)
+    return sv.Places(b.supplier_profile(spark, d), "id", "port", b.ZONES, b.OTHER, "zona")
 
 
 def _zoned_opinions(spark, d) -> DataFrame:
@@ -64,11 +64,6 @@ def _zone_item_counts(spark, d) -> DataFrame:
 
 # ---- sources and sinks -------------------------------------------------------------------
 
-@query
-def src_catalog(spark, d):
-    return tables.table_names(spark, d)
-
-
 @query
 def src_load_all(spark, d):
     return tables.table_sizes({name: spark.table(name) for name in tables.load_all(spark, d)})
@@ -76,7 +71,7 @@ def src_load_all(spark, d):
 
 @query
 def src_load_table(spark, d):
-    schema = "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string"
+    schema = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
     return tables.load_table(spark, d, "customer", schema)
 
 
@@ -210,13 +205,13 @@ def rollup_zone(spark, d):
 
 @query
 def rollup_zone_lookup(spark, d):
-    return jo.rollup_lookup(b.customer_profile(spark, d), "port", b.ZONES, "zona")
+    return jo.rollup_lookup(b.customer_profile(spark, d), "port", b.ZONES, "zona", b.OTHER)
 
 
 @query
 def zone_filter_pushdown(spark, d):
     profile = b.customer_profile(spark, d)
-    chosen = [profile.filter(lv.belongs_to(F.col("port"), b.ZONES, z)).withColumn("zona", F.lit(z))
+    chosen = [profile.filter(lv.belongs_to(F.col("port"), b.ZONES, z, b.OTHER)).withColumn("zona", F.lit(z))
               for z in ("North", "otro")]
     return chosen[0].unionByName(chosen[1])
 
@@ -348,8 +343,7 @@ def rescale_area(spark, d):
 
 @query
 def left_join_one(spark, d):
-    solvent = b.table(spark, d, "customer").filter(F.col("c_acctbal") > 0)
-    profile = solvent.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    profile = b.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return jo.left_join(b.table(spark, d, "orders").select("o_orderkey", "o_custkey"), profile, "o_custkey")
 
 
@@ -363,15 +357,15 @@ def left_join_nullsafe(spark, d):
 @query
 def left_join_composite(spark, d):
     events = b.table(spark, d, "events")
-    large = events.filter(F.col("value") > 150).groupBy("user_id", "event_type").agg(F.max("value").alias("largest"))
+    # Shifted by one user, so that some keys have no partner.
+    large = events.groupBy((F.col("user_id") + 1).alias("user_id"), "event_type").agg(F.max("value").alias("largest"))
     return jo.left_join(events.select("event_id", "user_id", "event_type"), large, ["user_id", "event_type"])
 
 
 @query
 def merge_left_suffix(spark, d):
     left = b.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"))
-    urgent = b.table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    right = urgent.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("amount"))
+    right = b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("amount"))
     return jo.merge_left(left, right, "id")
 
 
@@ -400,7 +394,7 @@ def densify_attributes(spark, d):
 
 @query
 def densify_lost_rows(spark, d):
-    return gr.lost_rows(_monthly(spark, d), "mes", list(b.MONTHS.values()))
+    return gr.lost_rows(_monthly(spark, d), "mes", list(b.MONTHS.values())[:-1])
 
 
 def _level_cells(spark, d) -> DataFrame:
@@ -456,7 +450,7 @@ def share_in_group(spark, d):
 
 @query
 def respondents_per_zone(spark, d):
-    zoned = _customers(spark, d).attach(b.opinions(spark, d).filter(F.col("answer") == "F"))
+    zoned = _customers(spark, d).attach(b.opinions(spark, d))
     return ct.count_distinct(zoned, "zona", of="id", name="respondents")
 
 
@@ -546,8 +540,8 @@ def distinct_values(spark, d):
 
 
 @query
-def quoted_list_agg(spark, d):
-    return ct.quoted_list(rw.drop_na_text(b.reports(spark, d), "sp_cien"), "sp_cien", "species_list")
+def quoted_values(spark, d):
+    return ct.quoted_values(rw.drop_na_text(b.reports(spark, d), "sp_cien"), "sp_cien", "species_list")
 
 
 @query
@@ -560,6 +554,24 @@ def bbox_agg_grouped(spark, d):
     return pt.bounding_box(_coordinates(spark, d), "lon", "lat", "label")
 
 
+@query
+def contradictory_by_zone(spark, d):
+    return sv.contradictory_species(b.reports(spark, d), _suppliers(spark, d), "sp_cien", "abundancia", "A", "R")
+
+
+@query
+def species_outside_list(spark, d):
+    return sv.species_outside(b.reports(spark, d), "sp_cien", b.SPECIES)
+
+
+@query
+def likert_by_nation(spark, d):
+    """Grouped by a column that is called like a counter."""
+    counts = lk.level_counts(_level_answers(spark, d).join(b.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n_nation")), "id"), b.ITEMS, b.LEVELS, ["n_nation"])
+    return lk.level_shares(counts, b.LEVELS)
+
+
 @query
 def contradictory_items(spark, d):
     return ct.contradictions(b.reports(spark, d), ["id", "sp_cien"], "abundancia", "A", "R")

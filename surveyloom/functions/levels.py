@@ -45,7 +45,7 @@ def relabel(column: Column, mapping: Mapping[str, str]) -> Column:
 
 def in_levels(column: Column, levels: Sequence[str]) -> Column:
     """Keep a listed level; an unlisted answer becomes NULL."""
-    return _look_up(column, {level: level for level in levels})
+    return F.when(column.isin(list(levels)), column)
 
 
 def ordinal(column: Column, levels: Sequence[str]) -> Column:
@@ -82,13 +82,13 @@ def group_of(groups: Groups) -> dict[str, str]:
     return flat
 
 
-def rollup(column: Column, groups: Groups, default: str = "otro") -> Column:
+def rollup(column: Column, groups: Groups, default: str) -> Column:
     """Coarser group of a category; NULL and unlisted values fall in ``default``."""
     return F.coalesce(_look_up(column, group_of(groups)), F.lit(default))
 
 
-def belongs_to(column: Column, groups: Groups, wanted: str, default: str = "otro") -> Column:
-    """Same rows as ``rollup(column) == wanted``, put as a test on the raw column.
+def belongs_to(column: Column, groups: Groups, wanted: str, default: str) -> Column:
+    """Same rows as ``rollup(column, groups, default) == wanted``, put as a test on the raw column.
 
     A test on a recoded column is not pushed to a Parquet scan, a member list is.
     """

@@ -11,8 +11,6 @@ from surveyloom.functions.text import quoted
 from surveyloom.operators.columns import named
 from surveyloom.operators.reshape import unpivot_long
 
-MAX_LISTED = 100_000
-
 
 def count_rows(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     """Rows per group; NULL is a group of its own."""
@@ -43,18 +41,9 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[named(c) for c in columns]).distinct()
 
 
-def quoted_list(df: DataFrame, column: str, name: str) -> DataFrame:
-    """All distinct values as one text ``c('a', 'b')``, in byte order.
-
-    The rows are made distinct first, so only the values themselves meet in one row.
-    More than ``MAX_LISTED`` values are an error, never a shortened list; for an open
-    domain take ``distinct_values`` and quote row by row.
-    """
-    values = distinct_values(df, column).limit(MAX_LISTED + 1)
-    listed = F.array_sort(F.collect_list(quoted(named(column))))
-    text = F.concat(F.lit("c("), F.array_join(listed, ", "), F.lit(")"))
-    too_long = F.raise_error(F.lit(f"more than {MAX_LISTED} values of {column}"))
-    return values.agg(F.when(F.count(F.lit(1)) > MAX_LISTED, too_long).otherwise(text).alias(name))
+def quoted_values(df: DataFrame, column: str, name: str) -> DataFrame:
+    """All distinct values, quoted, one row each in byte order; any number of them."""
+    return distinct_values(df, column).select(quoted(named(column)).alias(name)).orderBy(name)
 
 
 def outside_levels(df: DataFrame, items: Sequence[str], levels: Sequence[str]) -> DataFrame:

@@ -18,9 +18,6 @@ from surveyloom.functions.levels import in_levels, ordinal
 from surveyloom.operators.columns import named
 from surveyloom.operators.joins import left_join
 
-# Spark generates code for a stage of at most 100 columns (spark.sql.codegen.maxFields);
-# this many aggregates leave room for the keys.
-MAX_SIDE_BY_SIDE = 90
 BITS = 62  # positions per mask; the sign bit of a long stays free
 
 
@@ -65,15 +62,10 @@ def complete_cells(cells: DataFrame, by: Sequence[str], level: str, levels: Sequ
 
     Levels form a closed domain: a cell with an unlisted level counts under NULL, and a
     NULL cell stays if the group has one. The cells are summed side by side and turned
-    back into rows, which reads them once; a long level list goes through the masks.
+    back into rows, which reads them once, whatever the length of the level list.
     """
     keys = [named(b) for b in by]
     coerced = cells.select(*keys, in_levels(named(level), levels).alias(level), named(value).alias(value))
-    if len(levels) > MAX_SIDE_BY_SIDE:
-        merged = coerced.groupBy(*keys, named(level)).agg(F.coalesce(F.sum(named(value)), F.lit(fill)).alias(value))
-        added = absent_values(coerced, by, level, levels)
-        return merged.unionByName(added.withColumn(value, F.lit(fill)))
-
     sums = [F.sum(F.when(named(level) == v, named(value))).alias(f"__{i}") for i, v in enumerate(levels)]
     other = [F.sum(F.when(named(level).isNull(), named(value))).alias("__null"),
              F.count_if(named(level).isNull()).alias("__nulls")]

@@ -3,8 +3,7 @@
 Joins between tables carry no broadcast hint. Spark broadcasts a side when its
 statistics, or under adaptive execution its measured size, lie below
 ``spark.sql.autoBroadcastJoinThreshold``; otherwise it sorts and merges, and splits a
-hot key of the left side at run time. Only tables written out by the caller are
-broadcast by hint, and their length is checked.
+hot key of the left side at run time. That holds for tables written out by the caller too.
 """
 
 from __future__ import annotations
@@ -19,14 +18,10 @@ from pyspark.sql import functions as F
 from surveyloom.functions.levels import Groups, group_of
 from surveyloom.operators.columns import named
 
-MAX_LITERAL_ROWS = 10_000
-
 
 def literal_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
-    """An inline table the caller wrote out, broadcast in joins; its length is checked."""
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} inline rows; load more than {MAX_LITERAL_ROWS} as a table")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """An inline table the caller wrote out."""
+    return spark.createDataFrame(rows, schema)
 
 
 def left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
@@ -44,8 +39,12 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
 
 
 def merge_left(left: DataFrame, right: DataFrame, by: Sequence[str] | str,
-               suffixes: tuple[str, str] = ("_x", "_y"), sort: bool = True) -> DataFrame:
-    """Left join that renames clashing columns on both sides and sorts by the key."""
+               suffixes: tuple[str, str] = ("_x", "_y"), sort: bool = False) -> DataFrame:
+    """Left join that renames clashing columns on both sides.
+
+    ``sort`` orders the result by the key, with all other columns as tie-breaks, so
+    that equal keys can be spread over sort tasks.
+    """
     keys = [by] if isinstance(by, str) else list(by)
     clashing = {n.lower() for n in left.columns} & {n.lower() for n in right.columns}
     clashing -= {k.lower() for k in keys}
@@ -54,7 +53,9 @@ def merge_left(left: DataFrame, right: DataFrame, by: Sequence[str] | str,
         return df.withColumnsRenamed({n: n + suffix for n in df.columns if n.lower() in clashing})
 
     merged = suffixed(left, suffixes[0]).join(suffixed(right, suffixes[1]), keys, "left")
-    return merged.orderBy(*keys) if sort else merged
+    if not sort:
+        return merged
+    return merged.orderBy(*[named(k) for k in keys], *[named(n) for n in merged.columns if n not in keys])
 
 
 def recode_lookup(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:
@@ -65,7 +66,7 @@ def recode_lookup(df: DataFrame, column: str, mapping: Mapping[str, str]) -> Dat
                            for n in df.columns])
 
 
-def rollup_lookup(df: DataFrame, column: str, groups: Groups, name: str, default: str = "otro") -> DataFrame:
+def rollup_lookup(df: DataFrame, column: str, groups: Groups, name: str, default: str) -> DataFrame:
     """Coarser group through a lookup table, for lists too long for a literal map."""
     lookup = literal_table(df.sparkSession, f"`{column}` string, `{name}` string", list(group_of(groups).items()))
     joined = df.join(lookup, column, "left")

@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.levels import answer_ordinal, ratio
 from surveyloom.operators.columns import apply_columns, named
-from surveyloom.operators.grids import MAX_SIDE_BY_SIDE
+
+
+def _count(i: int) -> str:
+    """Reserved name of the column that counts the level with ordinal ``i``."""
+    return f"__n_{i}"
 
 
 def code_answers(df: DataFrame, items: Sequence[str], levels: Sequence[str],
@@ -34,11 +38,10 @@ def code_answers(df: DataFrame, items: Sequence[str], levels: Sequence[str],
 
 def code_counts(coded: DataFrame, items: Sequence[str], k: int, by: Sequence[str] = (),
                 labels: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per group and item from coded answers: ``by..., item, n_1 ... n_k``.
+    """One row per group and item from coded answers: ``by..., item, __n_1 ... __n_k``.
 
     All items are counted side by side, so the rows are not multiplied by the number of
-    items before they are aggregated. Blocks too wide for one generated loop
-    (``MAX_SIDE_BY_SIDE`` counts) go through rows of single answers instead.
+    items before they are aggregated, whatever the width of the block.
     """
     keys = [named(b) for b in by]
     names = {item: (labels or {}).get(item, item) for item in items}
@@ -46,18 +49,12 @@ def code_counts(coded: DataFrame, items: Sequence[str], k: int, by: Sequence[str
     def counts(code: Column) -> list[Column]:
         return [F.count(F.when(code == i, 1)) for i in range(1, k + 1)]
 
-    if len(items) * k > MAX_SIDE_BY_SIDE:
-        long = coded.select(*keys, *[named(old).alias(new) for old, new in names.items()])
-        long = long.unpivot(keys, [named(new) for new in names.values()], "item", "__code")
-        cells = [c.alias(f"n_{i}") for i, c in enumerate(counts(F.col("__code")), start=1)]
-        return long.groupBy(*keys, "item").agg(*cells)
-
     wide, rows = [], []
     for j, (item, name) in enumerate(names.items()):
         row = [F.lit(name).alias("item")]
         for i, count in enumerate(counts(named(item)), start=1):
             wide.append(count.alias(f"__n_{j}_{i}"))
-            row.append(F.col(f"__n_{j}_{i}").alias(f"n_{i}"))
+            row.append(F.col(f"__n_{j}_{i}").alias(_count(i)))
         rows.append(F.struct(*row))
     return coded.groupBy(*keys).agg(*wide).select(*keys, F.inline(F.array(*rows)))
 
@@ -72,11 +69,12 @@ def level_counts(df: DataFrame, items: Sequence[str], levels: Sequence[str], by:
 
 def _n(numbers) -> Column:
     """Sum of the counts of the given levels; 0 if there are none."""
-    return reduce(add, [F.col(f"n_{i}") for i in numbers], F.lit(0).cast("long"))
+    return reduce(add, [F.col(_count(i)) for i in numbers], F.lit(0).cast("long"))
 
 
 def _keys(counts: DataFrame) -> list[Column]:
-    return [named(n) for n in counts.columns if not n.startswith("n_")]
+    counters = {_count(i) for i in range(1, len(counts.columns) + 1)}
+    return [named(n) for n in counts.columns if n not in counters]
 
 
 def _split(k: int, center: float | None) -> tuple[list[int], list[int], list[int]]:
@@ -89,8 +87,8 @@ def _split(k: int, center: float | None) -> tuple[list[int], list[int], list[int
 def level_shares(counts: DataFrame, levels: Sequence[str], n: str = "n") -> DataFrame:
     """Every level of every item: ``level, ordinal``, its count and its percent."""
     total = _n(range(1, len(levels) + 1))
-    rows = [F.struct(F.lit(level).alias("level"), F.lit(i).alias("ordinal"), F.col(f"n_{i}").alias(n),
-                     ratio(F.col(f"n_{i}"), total).alias("percent"))
+    rows = [F.struct(F.lit(level).alias("level"), F.lit(i).alias("ordinal"), F.col(_count(i)).alias(n),
+                     ratio(F.col(_count(i)), total).alias("percent"))
             for i, level in enumerate(levels, start=1)]
     return counts.select(*_keys(counts), F.inline(F.array(*rows)))
 
@@ -106,9 +104,9 @@ def low_neutral_high(counts: DataFrame, k: int, center: float | None = None) ->
 def mean_sd(counts: DataFrame, k: int) -> DataFrame:
     """Number of answers, mean and sample standard deviation of the ordinals."""
     total = _n(range(1, k + 1))
-    weighted = reduce(add, [F.col(f"n_{i}") * i for i in range(1, k + 1)])
+    weighted = reduce(add, [F.col(_count(i)) * i for i in range(1, k + 1)])
     with_mean = counts.withColumns({"n": total, "mean": ratio(weighted, total, 1.0)})
-    squares = reduce(add, [F.col(f"n_{i}") * (F.lit(float(i)) - F.col("mean")) * (F.lit(float(i)) - F.col("mean"))
+    squares = reduce(add, [F.col(_count(i)) * (F.lit(float(i)) - F.col("mean")) * (F.lit(float(i)) - F.col("mean"))
                            for i in range(1, k + 1)])
     spread = F.sqrt(F.try_divide(squares, (F.col("n") - 1).cast("double")))
     return with_mean.select(*_keys(counts), "n", "mean", spread.alias("sd"))
@@ -136,7 +134,7 @@ def ordinal_density(counts: DataFrame, k: int, grid: Sequence[float], bandwidth:
 
     def kernel(i: int) -> Column:
         z = (F.col("x") - F.lit(float(i))) / F.lit(bandwidth)
-        return F.col(f"n_{i}") * F.exp(F.lit(-0.5) * z * z)
+        return F.col(_count(i)) * F.exp(F.lit(-0.5) * z * z)
 
     mass = reduce(add, [kernel(i) for i in range(1, k + 1)])
     scale = _n(range(1, k + 1)) * F.lit(bandwidth * math.sqrt(2 * math.pi))

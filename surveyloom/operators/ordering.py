@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import MapType, VariantType
 
 from surveyloom.functions.levels import ordinal
 from surveyloom.operators.columns import named
@@ -22,6 +23,11 @@ def sorted_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def order_by_levels(df: DataFrame, column: str, levels: Sequence[str], descending: bool = False) -> DataFrame:
-    """Rows in the order of a level list; unlisted and NULL come last."""
+    """Rows in the order of a level list; unlisted and NULL come last.
+
+    All other columns break ties, so rows of one level can be spread over sort tasks.
+    """
     position = ordinal(named(column), levels)
-    return df.orderBy(position.desc_nulls_last() if descending else position.asc_nulls_last())
+    first = position.desc_nulls_last() if descending else position.asc_nulls_last()
+    sortable = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    return df.orderBy(first, *[named(n) for n in sortable])

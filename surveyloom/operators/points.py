@@ -18,16 +18,20 @@ def make_point(df: DataFrame, x: str, y: str, name: str = "point", srid: int = 4
 
 
 def bounding_box(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"),
-                               F.max(x).alias("xmax"), F.max(y).alias("ymax"))
+    return df.groupBy(*[named(b) for b in by]).agg(
+        F.min(named(x)).alias("xmin"), F.min(named(y)).alias("ymin"),
+        F.max(named(x)).alias("xmax"), F.max(named(y)).alias("ymax"))
 
 
 def in_box_with_tag(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float],
                     tags: str, key: str, value: str) -> DataFrame:
-    """Features in a box (xmin, ymin, xmax, ymax) whose JSON tags hold key = value."""
+    """Features in a box (xmin, ymin, xmax, ymax) whose JSON tags hold key = value.
+
+    The tags are read as one flat map, so a dot or quote in a key is a letter like others.
+    """
     xmin, ymin, xmax, ymax = box
     return df.filter(named(x).between(xmin, xmax) & named(y).between(ymin, ymax)
-                     & (F.get_json_object(named(tags), f"$.{key}") == value))
+                     & (F.try_element_at(F.from_json(named(tags), "map<string, string>"), F.lit(key)) == value))
 
 
 def stack_layers(layers: Mapping[str, DataFrame], name: str = "layer") -> DataFrame:

@@ -43,4 +43,4 @@ def censor(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
 def censor_report(df: DataFrame, column: str, low: float, high: float, *by: str) -> DataFrame:
     """How many rows ``censor`` keeps and drops per group."""
     inside = F.coalesce(named(column).between(low, high), F.lit(False))
-    return df.groupBy(*by).agg(F.count_if(inside).alias("kept"), F.count_if(~inside).alias("dropped"))
+    return df.groupBy(*[named(b) for b in by]).agg(F.count_if(inside).alias("kept"), F.count_if(~inside).alias("dropped"))

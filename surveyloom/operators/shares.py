@@ -38,14 +38,16 @@ def share_of(cells: DataFrame, values: Sequence[str], denominators: DataFrame, b
 
 
 def pie_donut(df: DataFrame, by: Sequence[str], answer: str, sub_answer: str,
-              within_answer: bool | Column = True) -> DataFrame:
+              within_answer: bool | Column = True, name: str = "n", counted: str | None = None) -> DataFrame:
     """Inner share of each answer, outer share of each answer and sub-answer.
 
     The outer share is taken within the answer, or of the whole group if
-    ``within_answer`` is false; a condition on ``by`` decides it group by group.
+    ``within_answer`` is false; a condition on ``by`` decides it group by group. ``name``
+    is the column of the counts; ``counted`` names one of counts taken before.
     """
-    cells = count_rows(df, *by, answer, sub_answer, name="n")
-    rings = reaggregate(cells, *by, answer, value="n", name="__ring")
+    cells = (count_rows(df, *by, answer, sub_answer, name="__n") if counted is None
+             else reaggregate(df, *by, answer, sub_answer, value=counted, name="__n"))
+    rings = reaggregate(cells, *by, answer, value="__n", name="__ring")
     wholes = reaggregate(rings, *by, value="__ring", name="__whole")
     joined = left_join(cells, rings, [*by, answer], null_safe=True)
     if by:
@@ -54,6 +56,6 @@ def pie_donut(df: DataFrame, by: Sequence[str], answer: str, sub_answer: str,
         joined = joined.withColumn("__whole", wholes.scalar())
     within = F.lit(within_answer) if isinstance(within_answer, bool) else within_answer
     base = F.when(within, F.col("__ring")).otherwise(F.col("__whole"))
-    return joined.select(*[named(b) for b in by], named(answer), named(sub_answer), "n",
+    return joined.select(*[named(b) for b in by], named(answer), named(sub_answer), F.col("__n").alias(name),
                          ratio(F.col("__ring"), F.col("__whole")).alias("pie_share"),
-                         ratio(F.col("n"), base).alias("donut_share"))
+                         ratio(F.col("__n"), base).alias("donut_share"))

@@ -13,15 +13,16 @@ from surveyloom.functions.levels import (
     band,
     mirror,
     ratio,
+    raw_answers,
     relabel,
     rollup,
 )
 from surveyloom.operators.columns import flag_empty_rows, named, row_sum
+from surveyloom.operators.counts import count_rows, sum_or_zero
 from surveyloom.operators.grids import densify, explode_domain
 from surveyloom.operators.joins import left_join
 from surveyloom.operators.likert import code_answers, code_counts, level_shares
-from surveyloom.operators.rows import drop_incomplete, drop_na_text, keep_in
-from surveyloom.operators.counts import sum_or_zero
+from surveyloom.operators.rows import drop_na_text, keep_in
 from surveyloom.operators.shares import pie_donut
 
 
@@ -33,8 +34,8 @@ class Places:
     key: str
     place: str
     zones: Groups
-    default: str = "otro"
-    zone: str = "zona"
+    default: str
+    zone: str
     null_safe: bool = False
 
     def zone_of(self) -> DataFrame:
@@ -67,9 +68,12 @@ def likert_by_zone(answers: DataFrame, places: Places, items: Sequence[str], map
 def heatmap_cells(answers: DataFrame, places: Places, items: Sequence[str], mapping: Mapping[str, str],
                   levels: Sequence[str], labels: Mapping[str, str] | None = None) -> DataFrame:
     """Zone by level cells of every item, from respondents who answered all items."""
-    coded = code_answers(answers.select(named(places.key), *[named(i) for i in items]), items, levels, mapping)
-    complete = drop_incomplete(coded, items)
-    counts = code_counts(places.attach(complete), items, len(levels), [places.zone], labels)
+    listed = [raw for raws in raw_answers(mapping, levels).values() for raw in raws]
+    complete = answers.select(named(places.key), *[named(i) for i in items])
+    for item in items:  # on the raw answers, so that the test reaches the scan
+        complete = complete.filter(named(item).isin(listed))
+    coded = code_answers(complete, items, levels, mapping)
+    counts = code_counts(places.attach(coded), items, len(levels), [places.zone], labels)
     return level_shares(counts, levels, n="count")
 
 
@@ -87,8 +91,10 @@ def species_change(reports: DataFrame, places: Places, denominators: DataFrame,
     changed = [raw for raw, new in mapping.items() if new in (down, up)]
     reported = keep_in(keep_in(drop_na_text(reports, species, direction), species, wanted), direction, changed)
     way = relabel(named(direction), mapping)
-    counts = places.attach(reported).groupBy(named(zone), named(species)).agg(
+    per_respondent = reported.groupBy(named(places.key), named(species)).agg(
         F.count_if(way == down).alias("__down"), F.count_if(way == up).alias("__up"))
+    counts = places.attach(per_respondent).groupBy(named(zone), named(species)).agg(
+        F.sum("__down").alias("__down"), F.sum("__up").alias("__up"))
     grid = explode_domain(denominators.select(named(zone), named(total)), species, wanted)
     cells = left_join(grid, counts, [zone, species])
 
@@ -143,4 +149,25 @@ def pie_donut_by_zone(answers: DataFrame, places: Places, answer: str, sub_answe
     """
     zone = named(places.zone)
     within = ~F.coalesce(zone.isin(list(of_whole)), F.lit(False)) if of_whole else True
-    return pie_donut(places.attach(drop_na_text(answers, answer)), [places.zone], answer, sub_answer, within)
+    counted = count_rows(drop_na_text(answers, answer), places.key, answer, sub_answer, name="__count")
+    return pie_donut(places.attach(counted), [places.zone], answer, sub_answer, within, counted="__count")
+
+
+def contradictory_species(reports: DataFrame, places: Places, species: str, direction: str, down: str,
+                          up: str) -> DataFrame:
+    """Species that a zone's respondents report both falling and rising, with the reports of either kind.
+
+    Reports are counted per respondent before the join to the zones.
+    """
+    way = named(direction)
+    counted = drop_na_text(reports, species).groupBy(named(places.key), named(species)).agg(
+        F.count_if(way == down).alias("__down"), F.count_if(way == up).alias("__up"))
+    zoned = places.attach(counted).groupBy(named(places.zone), named(species)).agg(
+        F.sum("__down").alias("n_down"), F.sum("__up").alias("n_up"))
+    return zoned.filter("n_down > 0 and n_up > 0")
+
+
+def species_outside(reports: DataFrame, species: str, listed: Sequence[str]) -> DataFrame:
+    """Reported species that the list lacks, with their reports: what ``species_change`` leaves out."""
+    named_reports = drop_na_text(reports, species)
+    return count_rows(named_reports.filter(~named(species).isin(list(listed))), species)

@@ -25,7 +25,7 @@ Tables = Mapping[str, DataFrame]
 
 
 def _places(tables: Tables) -> survey.Places:
-    return survey.Places(tables["A_perfil"], "ID", "cofradia", d.ZONES, null_safe=True)
+    return survey.Places(tables["A_perfil"], "ID", "cofradia", d.ZONES, "otro", "zona", null_safe=True)
 
 
 def _labelled(df: DataFrame, item_range: tuple[str, str], labels: Sequence[str]) -> dict[str, str]:
@@ -99,6 +99,16 @@ def species(tables: Tables, shortlist: bool = False) -> DataFrame:
                                  d.SPECIES, "respondents", shortlist=d.SHORTLIST if shortlist else None)
 
 
+def contradictions(tables: Tables) -> DataFrame:
+    """Species reported both falling and rising in one zone."""
+    return survey.contradictory_species(tables["C_especies"], _places(tables), "sp_cien", "abundancia", "menor", "mayor")
+
+
+def unlisted_species(tables: Tables) -> DataFrame:
+    """Reports of species outside the list, which the shares leave out."""
+    return survey.species_outside(tables["C_especies"], "sp_cien", list(d.SPECIES))
+
+
 def rotation(tables: Tables, added_rows_keep_zone: bool = True) -> DataFrame:
     """Share of each gear by zone and month, with the gear's place in the legend.
 
@@ -138,6 +148,8 @@ def results(tables: Tables) -> dict[str, DataFrame]:
         "heatmaps": heatmaps(tables),
         "species": species(tables),
         "species_shortlist": species(tables, shortlist=True),
+        "contradictory_species": contradictions(tables),
+        "species_outside_list": unlisted_species(tables),
         "rotation": rotation(tables),
         "donuts": donuts(tables),
     }

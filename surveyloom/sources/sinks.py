@@ -24,7 +24,7 @@ def write_csv(df: DataFrame, path: str, null_marker: str = NULL_MARKER) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str,
-             null_marker: str = NULL_MARKER, multi_line: bool = True) -> DataFrame:
+             null_marker: str = NULL_MARKER, multi_line: bool = False) -> DataFrame:
     return csv_reader(spark, schema, null_marker, multi_line).csv(path)
 
 
@@ -40,7 +40,7 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row") ->
     spark = df.sparkSession
     stage = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
     place = F.monotonically_increasing_id()  # partition in the upper bits, position in the lower 33
-    df.orderBy(*[named(k) for k in order_by]).withColumn("__place", place).write.parquet(stage)
+    df.orderBy(*[named(k) for k in order_by], *[named(n) for n in df.columns if n not in order_by]).withColumn("__place", place).write.parquet(stage)
 
     staged = spark.read.parquet(stage).withColumn("__part", F.shiftright("__place", 33))
     sizes = staged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,22 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def table_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of the tables in a folder, sorted, as a table with the column ``name``.
-
-    Spark lists the files; their content is not read. A table may be a single file
-    or a folder of part files.
-    """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(folder).select("path"))
-    root = folder.split("://", 1)[-1].removeprefix("file:").rstrip("/").lstrip("/")
-    entry = F.regexp_extract("path", rf"\Q{root}\E/([^/]+)", 1)
-    name = F.regexp_replace(entry, r"\.(parquet|csv)$", "")
-    return files.select(name.alias("name")).filter(~F.col("name").rlike("^[_.]")).distinct().orderBy("name")
+def table_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder, sorted: one level is listed, not the part files below it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = {entry.getPath().getName() for entry in entries}
+    return sorted({re.sub(r"\.(parquet|csv)$", "", n) for n in names if n[0] not in "_."})
 
 
 def load_table(spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None,
-               file_format: str = "parquet", null_marker: str = "", multi_line: bool = True) -> DataFrame:
+               file_format: str = "parquet", null_marker: str = "", multi_line: bool = False) -> DataFrame:
     """One table by name. CSV needs a schema; Parquet takes it from the file."""
     path = f"{folder.rstrip('/')}/{name}.{file_format}"
     if file_format == "csv":
@@ -35,11 +30,11 @@ def load_table(spark: SparkSession, folder: str, name: str, schema: StructType |
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def csv_reader(spark: SparkSession, schema: StructType | str, null_marker: str, multi_line: bool = True):
+def csv_reader(spark: SparkSession, schema: StructType | str, null_marker: str, multi_line: bool = False):
     """Headers are checked against the schema, and a malformed row is an error.
 
-    A text may hold line breaks. Where none does, ``multi_line=False`` lets Spark
-    split a large file over several tasks.
+    Large files are split over tasks. ``multi_line`` is for texts that hold line
+    breaks; a file is then read by one task.
     """
     return (spark.read.schema(schema).option("header", True).option("nullValue", null_marker)
             .option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", False)
@@ -48,12 +43,13 @@ def csv_reader(spark: SparkSession, schema: StructType | str, null_marker: str,
 
 def load_all(spark: SparkSession, folder: str, names: Sequence[str] | None = None,
              schemas: Mapping[str, StructType | str] | None = None,
-             file_format: str = "parquet") -> dict[str, DataFrame]:
+             file_format: str = "parquet", null_marker: str = "",
+             multi_line: bool = False) -> dict[str, DataFrame]:
     """Load every table of a folder and register each as a view under its name."""
     if names is None:
-        names = [row.name for row in table_names(spark, folder).toLocalIterator()]
+        names = table_names(spark, folder)
     schemas = schemas or {}
-    tables = {n: load_table(spark, folder, n, schemas.get(n), file_format) for n in names}
+    tables = {n: load_table(spark, folder, n, schemas.get(n), file_format, null_marker, multi_line) for n in names}
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
     return tables

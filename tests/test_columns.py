@@ -54,22 +54,22 @@ GROUPS = {"north": ["a", "b"], "south": ["b", "c"]}
 
 def test_rollup_first_group_wins_and_null_is_default(spark, rows):
     df = spark.createDataFrame([("a",), ("b",), ("c",), ("z",), (None,)], "p string")
-    assert rows(df.select("p", lv.rollup(F.col("p"), GROUPS).alias("g"))) == [
+    assert rows(df.select("p", lv.rollup(F.col("p"), GROUPS, "otro").alias("g"))) == [
         (None, "otro"), ("a", "north"), ("b", "north"), ("c", "south"), ("z", "otro")]
 
 
 @pytest.mark.parametrize("wanted", ["north", "south", "otro"])
 def test_belongs_to_selects_the_rollup_rows(spark, rows, wanted):
     df = spark.createDataFrame([("a",), ("b",), ("c",), ("z",), (None,)], "p string")
-    by_rollup = df.filter(lv.rollup(F.col("p"), GROUPS) == wanted)
-    assert rows(df.filter(lv.belongs_to(F.col("p"), GROUPS, wanted))) == rows(by_rollup)
+    by_rollup = df.filter(lv.rollup(F.col("p"), GROUPS, "otro") == wanted)
+    assert rows(df.filter(lv.belongs_to(F.col("p"), GROUPS, wanted, "otro"))) == rows(by_rollup)
 
 
 def test_belongs_to_a_default_that_is_also_a_group(spark, rows):
     groups = {"north": ["a"], "otro": ["c"]}
     df = spark.createDataFrame([("a",), ("c",), ("z",), (None,)], "p string")
-    by_rollup = df.filter(lv.rollup(F.col("p"), groups) == "otro")
-    assert rows(df.filter(lv.belongs_to(F.col("p"), groups, "otro"))) == rows(by_rollup)
+    by_rollup = df.filter(lv.rollup(F.col("p"), groups, "otro") == "otro")
+    assert rows(df.filter(lv.belongs_to(F.col("p"), groups, "otro", "otro"))) == rows(by_rollup)
 
 
 def test_band_bounds_are_closed_in_the_middle(spark, rows):

@@ -32,14 +32,13 @@ def test_left_join_null_keys_and_fan_out(spark, rows):
 def test_merge_left_suffixes_and_sorts(spark):
     left = spark.createDataFrame([(2, "b", 1), (1, "a", 2)], "k int, v string, only int")
     right = spark.createDataFrame([(1, "A")], "k int, V string")
-    merged = jo.merge_left(left, right, "k")
+    merged = jo.merge_left(left, right, "k", sort=True)
     assert merged.columns == ["k", "v_x", "only", "V_y"]
     assert [tuple(r) for r in merged.collect()] == [(1, "a", 2, "A"), (2, "b", 1, None)]
 
 
-def test_literal_table_refuses_long_lists(spark):
-    with pytest.raises(ValueError):
-        jo.literal_table(spark, "x int", [(i,) for i in range(jo.MAX_LITERAL_ROWS + 1)])
+def test_literal_tables_have_no_limit(spark):
+    assert jo.literal_table(spark, "x int", [(i,) for i in range(10_001)]).count() == 10_001
 
 
 def test_lookup_forms_agree_with_maps(spark, rows):
@@ -47,13 +46,11 @@ def test_lookup_forms_agree_with_maps(spark, rows):
 
     df = spark.createDataFrame([("a", 1), ("b", 2), ("z", 3), (None, 4)], "p string, id int")
     groups = {"one": ["a", "b"], "two": ["b"]}
-    assert rows(jo.rollup_lookup(df, "p", groups, "g")) == rows(df.withColumn("g", rollup(F.col("p"), groups)))
+    assert rows(jo.rollup_lookup(df, "p", groups, "g", "otro")) == rows(df.withColumn("g", rollup(F.col("p"), groups, "otro")))
     assert rows(jo.recode_lookup(df, "p", {"a": "A"})) == rows(df.withColumn("p", recode(F.col("p"), {"a": "A"})))
 
 
-@pytest.mark.parametrize("side_by_side", [90, 0])
-def test_complete_cells(cells, rows, monkeypatch, side_by_side):
-    monkeypatch.setattr(gr, "MAX_SIDE_BY_SIDE", side_by_side)
+def test_complete_cells(cells, rows):
     done = gr.complete_cells(cells, ["g"], "level", LEVELS)
     assert rows(done) == [
         (None, "High", 0), (None, "Low", 4), (None, "Mid", 0),
@@ -62,9 +59,7 @@ def test_complete_cells(cells, rows, monkeypatch, side_by_side):
     assert rows(gr.complete_cells(done, ["g"], "level", LEVELS)) == rows(done)
 
 
-@pytest.mark.parametrize("side_by_side", [90, 0])
-def test_complete_cells_fills_missing_values(spark, rows, monkeypatch, side_by_side):
-    monkeypatch.setattr(gr, "MAX_SIDE_BY_SIDE", side_by_side)
+def test_complete_cells_fills_missing_values(spark, rows):
     df = spark.createDataFrame([("a", "Low", None), ("b", "High", 1)], "g string, level string, n long")
     assert rows(gr.complete_cells(df, ["g"], "level", LEVELS)) == [
         ("a", "High", 0), ("a", "Low", 0), ("a", "Mid", 0), ("b", "High", 1), ("b", "Low", 0), ("b", "Mid", 0)]
@@ -158,9 +153,9 @@ def test_count_distinct(spark, rows):
     assert rows(ct.count_distinct(df, "g", of="id")) == [(None, 1), ("a", 2), ("b", 0)]
 
 
-def test_quoted_list(spark, rows):
+def test_quoted_values(spark, rows):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "s string")
-    assert rows(ct.quoted_list(df.dropna(), "s", "l")) == [("c('a', 'b')",)]
+    assert [r.l for r in ct.quoted_values(df.dropna(), "s", "l").collect()] == ["'a'", "'b'"]
 
 
 def test_contradictions(spark, rows):
@@ -200,12 +195,10 @@ def test_level_shares(items, rows):
         ("z", "q", "High", 3, 0, None), ("z", "q", "Low", 1, 0, None), ("z", "q", "Mid", 2, 0, None)]
 
 
-def test_wide_blocks_count_the_same(items, rows, monkeypatch):
+def test_labels_and_mapping(items, rows):
     labels = {"p": "Storm Freq.", "q": "Jet Skis"}
     mapping = {"odd": "High", "Mid": "Low"}
     side_by_side = rows(lk.level_counts(items, ["p", "q"], LEVELS, ["zona"], labels, mapping))
-    monkeypatch.setattr(lk, "MAX_SIDE_BY_SIDE", 1)
-    assert rows(lk.level_counts(items, ["p", "q"], LEVELS, ["zona"], labels, mapping)) == side_by_side
     assert side_by_side == [("y", "Jet Skis", 1, 0, 0), ("y", "Storm Freq.", 0, 0, 1),
                             ("z", "Jet Skis", 0, 0, 1), ("z", "Storm Freq.", 3, 0, 1)]
 
@@ -262,9 +255,32 @@ def test_results_do_not_depend_on_partitions(spark, items, rows, parts):
         assert rows(run(spread)) == rows(run(items))
 
 
-def test_quoted_list_is_whole_or_an_error(spark, monkeypatch):
-    monkeypatch.setattr(ct, "MAX_LISTED", 3)
-    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "s string")
-    assert ct.quoted_list(df, "s", "l").collect()[0].l == "c('a', 'b', 'c')"
-    with pytest.raises(Exception, match="more than 3 values of s"):
-        ct.quoted_list(df.union(df.limit(1).select(F.lit("d"))), "s", "l").collect()
+@pytest.mark.parametrize("width", [2, 130])
+def test_blocks_of_any_width_count_alike(spark, rows, width):
+    """No answers, twin labels and many counters give the same kind of result."""
+    levels = ["Low", "High"] + [f"never {i}" for i in range(width - 2)]
+    df = spark.createDataFrame([("Low", "High"), ("High", "High"), (None, "odd")], "p string, q string")
+    counts = lk.level_counts(df, ["p", "q"], levels, labels={"p": "same", "q": "same"})
+    shares = lk.level_shares(counts, levels).filter("n > 0")
+    assert rows(shares, "item", "level", "n") == [("same", "High", 1), ("same", "High", 2), ("same", "Low", 1)]
+    empty = lk.level_shares(lk.level_counts(df.limit(0), ["p", "q"], levels), levels)
+    assert empty.count() == 2 * width and empty.filter("n <> 0 or percent is not null").count() == 0
+
+
+def test_group_columns_may_start_like_counters(spark, rows):
+    df = spark.createDataFrame([("x", "Low"), ("y", "High")], "n_region string, p string")
+    counts = lk.level_counts(df, ["p"], LEVELS, ["n_region"])
+    for view in (lk.level_shares(counts, LEVELS), lk.low_neutral_high(counts, 3), lk.mean_sd(counts, 3),
+                 lk.centered_offsets(counts, LEVELS), lk.ordinal_density(counts, 3, [1.0], 0.5)):
+        assert sorted({r.n_region for r in view.collect()}) == ["x", "y"]
+
+
+def test_names_with_dots(spark, rows):
+    from surveyloom.operators import points, rows as rw
+
+    df = spark.createDataFrame([(1.0, 2.0, "a", '{"addr.city": "P"}')], "`x.x` double, y double, `g.g` string, t string")
+    assert rows(points.bounding_box(df, "x.x", "y", "g.g")) == [("a", 1.0, 2.0, 1.0, 2.0)]
+    assert rows(rw.censor_report(df, "x.x", 0, 5, "g.g")) == [("a", 1, 0)]
+    assert points.in_box_with_tag(df, "x.x", "y", (0, 0, 3, 3), "t", "addr.city", "P").count() == 1
+    donut = spark.createDataFrame([("a", "b")], "n string, m string")
+    assert rows(sh.pie_donut(donut, [], "n", "m", name="rows")) == [("a", "b", 1, 100.0, 100.0)]

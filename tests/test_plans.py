@@ -78,7 +78,7 @@ def test_densify_does_not_shuffle_the_facts(spark):
 def test_zone_filter_reaches_the_scan(spark):
     nation = b.table(spark, SF_DIR, "nation")
     for zone in ("North", "otro"):
-        text = nation.filter(lv.belongs_to(F.col("n_name"), b.ZONES, zone))._jdf.queryExecution().executedPlan().toString()
+        text = nation.filter(lv.belongs_to(F.col("n_name"), b.ZONES, zone, b.OTHER))._jdf.queryExecution().executedPlan().toString()
         pushed = re.search(r"PushedFilters: \[(.*?), ReadSchema", text).group(1)
         assert "n_name" in pushed
 
@@ -90,7 +90,7 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_lookups_are_broadcast(spark):
-    text = plan(jo.rollup_lookup(b.customer_profile(spark, SF_DIR), "port", b.ZONES, "zona"))
+    text = plan(jo.rollup_lookup(b.customer_profile(spark, SF_DIR), "port", b.ZONES, "zona", b.OTHER))
     assert text.count("BroadcastHashJoin") >= 1
 
 
@@ -108,7 +108,7 @@ def test_hot_join_key_is_split(spark, rows):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        zoned = sv.Places(profile, "ID", "port", {"even": [str(i) for i in range(0, 20, 2)]}).attach(facts)
+        zoned = sv.Places(profile, "ID", "port", {"even": [str(i) for i in range(0, 20, 2)]}, "otro", "zona").attach(facts)
         df = zoned.groupBy("zona").agg(F.count("note").alias("n"))
         got = rows(df)
         assert "skew=true" in plan(df)

@@ -214,5 +214,16 @@ def test_clean_tables(tables, data):
 
 def test_all_results_run(tables):
     results = wb.results(tables)
-    assert len(results) == 10
+    assert len(results) == 12
     assert all(frame.limit(1).count() == 1 for frame in results.values())
+
+
+def test_dropped_and_contradictory_species(spark):
+    """By plain loops: a zone's reports both ways, and reports outside the list."""
+    profile = [(1, "x"), (2, None), (3, "x")]
+    reports = [(1, "Boops boops", "menor"), (3, "Boops boops", "mayor"), (2, "Boops boops", "menor"), (1, "NA", "menor"),
+               (3, "NA", "mayor"), (2, None, "mayor"), (9, "no such", "igual"), (2, "no such", "menor")]
+    tables = {"A_perfil": spark.createDataFrame(profile, "ID int, cofradia string"),
+              "C_especies": spark.createDataFrame(reports, "ID int, sp_cien string, abundancia string")}
+    assert [tuple(r) for r in wb.contradictions(tables).collect()] == [("otro", "Boops boops", 2, 1)]
+    assert {tuple(r) for r in wb.unlisted_species(tables).collect()} >= {("no such", 2)}
