@@ -46,6 +46,7 @@ class Vocabulary:
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters = byte_letters()
+        self.printed = dict(enumerate(self.letters))
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.joined = {(a, b) for t in self.ids for c in [t.removesuffix(WORD_END)] for a, b in zip(c, c[1:])}
         self.marks = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
@@ -56,9 +57,10 @@ class Vocabulary:
         No merge can ever cross such a place, so each fragment has the ids that it
         has inside the word.
         """
-        letters = [self.letters[b] for b in word.encode()]
-        cuts = [i for i in range(1, len(letters)) if (letters[i - 1], letters[i]) not in self.joined]
-        parts = [letters[a:b] for a, b in zip([0, *cuts], [*cuts, len(letters)])]
+        letters = list(word.encode().decode("latin-1").translate(self.printed))
+        joined = self.joined
+        cuts = [i for i, pair in enumerate(zip(letters, letters[1:]), 1) if pair not in joined]
+        parts = [letters[a:b] for a, b in zip([0, *cuts], [*cuts, len(letters)])] if cuts else [letters]
         parts[-1][-1] += WORD_END
         return parts
 
@@ -109,7 +111,12 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.runs = _Remembered(lambda run: [i for w in WORD.findall(run) for i in vocabulary.word_ids(w)])
+        self.words = _Remembered(vocabulary.word_ids)
+        self.runs = _Remembered(self.run_ids)
+
+    def run_ids(self, run: str) -> list[int]:
+        words = [run] if run.isalpha() and run.isascii() else WORD.findall(run)
+        return self.words[words[0]] if len(words) == 1 else [i for w in words for i in self.words[w]]
 
     def plain(self, text: str) -> Iterator[int]:
         """No word holds a blank, so runs between blanks are encoded one by one."""
