@@ -26,7 +26,7 @@ BLANKS = regex.compile(r"\p{White_Space}+")
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 
 #: Runs of letters whose ids a worker remembers, in each of two generations.
-REMEMBERED = 80_000
+REMEMBERED = 130_000
 
 
 def byte_letters() -> list[str]:
