@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 #: Runs of letters whose ids a worker remembers, in each of two generations.
 REMEMBERED = 130_000
 
+#: Bytes of texts that are encoded before their ids are handed on.
+AT_A_TIME = 1 << 22
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary: printable ones for themselves, others from 256 on."""
@@ -159,15 +163,36 @@ def _encoder(text: str) -> Encoder:
     return Encoder(_vocabulary(text))
 
 
-def _encoded(sent, text: str):
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts hold about ``AT_A_TIME`` bytes together; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    through, i = np.cumsum(sizes, dtype=np.int64), 0
+    while i < len(sizes):
+        before = through[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(through, before + AT_A_TIME, "right")))
+        yield i, j
+        i = j
+
+
+def _id_lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+
+def _encoded(sent, text: str, decoded: bool = False):
+    """Ids of the texts, or, in the same pass, ids and what they decode to in the place of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(sent.value)
-        for batch in batches:
-            found = [encode(t.as_py()) for t in batch.column(text)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+        decode = Decoder(encode.vocabulary) if decoded else None
+        for whole in batches:
+            for lo, hi in _runs(whole.column(text)):
+                batch = whole.slice(lo, hi - lo)
+                found = [encode(t.as_py()) for t in batch.column(text)]
+                columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"ids": _id_lists(found)}
+                if decode:
+                    del columns[text]
+                    columns["decoded"] = pa.array(map(decode, found), pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
     return run
 
 
@@ -209,11 +234,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return own.mapInArrow(_decoded(sent, ids), _schema(own, "decoded string"))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ids and decoded take the place of the text.
+
+    A text goes to a worker once, and a task has one worker with one vocabulary for
+    both. Columns ids and decoded are replaced.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_file_text(path))
+    own = docs.drop("ids", "decoded")
+    return own.mapInArrow(_encoded(sent, text, decoded=True), _schema(own.drop(text), "ids array<int>, decoded string"))
+
+
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    coded = encode(slim, path).drop("text")
-    back = decode(coded, path)
+    back = round_trip(slim, path)
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
