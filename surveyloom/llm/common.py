@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
+#: A key with more than this fraction of all rows is hot in ``join_heads``; there are fewer such keys than this.
+HOT_SHARE = 512
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
@@ -62,6 +65,23 @@ def exact_rank(df: DataFrame, key: str, order: list[Column], bucket: Column, n:
             .drop("__bucket", "__key", "__b", "__before"))
 
 
+def join_heads(rows: DataFrame, heads: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the columns of ``heads`` of the same key, by an inner join without hot keys.
+
+    ``heads`` has one row for each ``__key``, and in ``__n`` how many of the ``total``
+    rows have that ``key``. Keys with more than a ``HOT_SHARE``-th of all rows are
+    fewer than ``HOT_SHARE``, as counts add up to the total; these few heads, and only
+    these, are broadcast, and their rows stay where they are. All others are shuffled.
+    ``rows`` is read twice, so it should be a written table.
+    """
+    is_hot = F.col("__n") * HOT_SHARE > F.lit(total)
+    hot, cold = F.broadcast(heads.filter(is_hot)), heads.filter(~is_hot)
+    hot_keys = F.broadcast(heads.filter(is_hot).select("__key"))
+    same = F.col("key") == F.col("__key")
+    rest = rows.join(hot_keys, same, "left_anti").join(cold, same)
+    return rows.join(hot, same).unionByName(rest).drop("__key", "__n")
+
+
 def bucket_count(rows: int, per_bucket: int = 20_000, least: int = 256) -> int:
     """Buckets for ``exact_rank``: some ten thousand rows each, and enough of them to spread small inputs."""
     return max(least, -(-rows // per_bucket))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import BLANKS, stage
+from surveyloom.llm.common import BLANKS, join_heads, stage
 
 #: Shorter keys are never dropped (code points).
 LEAST_CHARS = 10
@@ -180,8 +180,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     Only keys that the filters suspect are shuffled, as 16-byte digests; they are
     counted exactly, with a partial minimum and maximum of the ids before the
-    shuffle, so a line that a third of all documents hold is no hot key there. Texts
-    move only if Spark finds the list of losses too large to broadcast.
+    shuffle, so a line that a third of all documents hold is no hot key there, and
+    such lines meet their first document without a shuffle. Texts move only if Spark finds the list of losses too large to broadcast.
 
     NULL and empty texts are one empty line; NULL becomes an empty text. Documents
     with a NULL id keep all lines and count for no key. Rows that repeat an id are
@@ -195,9 +195,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     suspects = _Suspects(spark.sparkContext.broadcast(twice_seen(slim, n_bits)), n_bits)
 
     found = stage(slim.mapInArrow(_suspected(suspects), "doc_id long, key binary"), "lines")
-    repeated = (found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                .filter("first <> last").select(F.col("key").alias("__key"), "first"))
-    losses = found.join(repeated, (F.col("key") == F.col("__key")) & (F.col("doc_id") != F.col("first")))
+    repeated = (found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                         F.count(F.lit(1)).alias("__n"))
+                .filter("first <> last").select(F.col("key").alias("__key"), "first", "__n"))
+    losses = join_heads(found, repeated, found.count()).filter("doc_id <> first")
     drops = stage(losses.groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
                   .withColumnRenamed("doc_id", "__doc"), "drops")
 
