@@ -92,21 +92,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges are a forest of
     stars. Every step is a minimum per node, combined before the shuffle, and a join
-    of the edges with these minima, so a node with very many edges is split like any
-    hot join key. Each round is written, so that no lineage grows.
+    of the edges with these minima, in which nodes with very many edges are not
+    shuffled (``join_heads``). Each round is written, so that no lineage grows.
     """
     current = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .distinct(), name)
     seen = _checksum(current)
     while True:
-        both = current.union(current.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        large = (both.filter("b > a").join(low, F.col("a") == F.col("u"))
-                 .select(F.col("b").alias("a"), F.least("m", "u").alias("b")).distinct())
-        large = stage(large, name)
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = (large.join(low, F.col("a") == F.col("u")).select("b", "m").filter("b <> m")
-                 .union(low).toDF("a", "b").distinct())
+        both = current.union(current.select("b", "a")).toDF("key", "b")
+        large = stage(join_heads(both, _lowest(both), 2 * seen[0]).filter("b > key")
+                      .select(F.col("b").alias("a"), F.least("m", "key").alias("b")).distinct(), name)
+        edges = large.toDF("key", "b")
+        low = _lowest(edges)
+        small = (join_heads(edges, low, edges.count()).select("b", "m").filter("b <> m")
+                 .union(low.select("__key", "m")).toDF("a", "b").distinct())
         current = stage(small, name)
         now = _checksum(current)
         if now == seen:
@@ -115,6 +114,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         seen = now
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Least neighbour m and number of edges of each node."""
+    return edges.groupBy(F.col("key").alias("__key")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n"))
+
+
 def _checksum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
     return row[0], row[1]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import components, stage
+from surveyloom.llm.common import components, join_heads, stage
 from surveyloom.llm.textscan import mix, scan_words, windows
 
 #: Words in a shingle, and the least similarity of a link in percent.
@@ -192,9 +192,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     reps = stage(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "reps")
 
     keyed = reps.select("rep", F.explode("keys").alias("key"))
-    heads = (keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head <> tail")
-             .select(F.col("key").alias("__key"), "head"))
-    pairs = (keyed.join(heads, F.col("key") == F.col("__key")).filter("rep <> head")
+    heads = (keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail"),
+                                      F.count(F.lit(1)).alias("__n")).filter("head <> tail")
+             .select(F.col("key").alias("__key"), "head", "__n"))
+    pairs = (join_heads(keyed, heads, reps.count() * CHUNKS * CHUNK).filter("rep <> head")
              .select(F.col("rep").alias("a"), F.col("head").alias("b")))
     groups = components(pairs, "candidates")
 
