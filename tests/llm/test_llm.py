@@ -215,6 +215,18 @@ def test_encoding_equals_the_public_library(spark, docs, texts):
         assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
+def test_long_fragments_merge_alike():
+    v = bpe._vocabulary(bpe._file_text(VOCABULARY))
+    library = Tokenizer.from_file(VOCABULARY)
+    r = random.Random(8)
+    for alphabet in ("a", "the", "abcdefghijklmnopqrstuvwxyz", "!?=-"):
+        word = "".join(r.choice(alphabet) for _ in range(700))
+        assert v.word_ids(word) == library.encode(word, add_special_tokens=False).ids
+        letters = [*word[:60], word[60] + bpe.WORD_END]
+        assert v.merge_long(list(letters)) == v.merge(list(letters))
+    assert v.word_ids("a" * 200_000) == library.encode("a" * 200_000, add_special_tokens=False).ids
+
+
 def test_forced_boundaries_cut_only_between_tokens():
     v = bpe._vocabulary(bpe._file_text(VOCABULARY))
     cut = 0
