@@ -93,6 +93,18 @@ def _with_sets(names: list[str]):
     return run
 
 
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (doc_id, key) whose two sets are alike enough, as links (a, b)."""
+    for batch in batches:
+        hits = []
+        for own, head in zip(batch.column("shingles"), batch.column("head_shingles"), strict=True):
+            left, right = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, head))
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            hits.append(100 * both >= LEAST_PERCENT * (len(left) + len(right) - both))
+        kept = batch.select(["doc_id", "key"]).filter(pa.array(hits, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(kept.columns, ["a", "b"])
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set on the left with each on the right, as a matrix.
 
@@ -168,6 +180,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(out)
 
 
+def _against_closest(sets: DataFrame, closest: DataFrame) -> DataFrame:
+    """Each set beside that of the document with which it shares most keys: as many rows as sets at most."""
+    uses = closest.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    heads = sets.select("doc_id", F.col("shingles").alias("head_shingles")).join(
+        uses, F.col("doc_id") == F.col("__key")).drop("doc_id")
+    return join_heads(sets.filter("key is not null"), heads, closest.count())
+
+
+def _members(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """Documents of the candidate groups that are not one part yet: node, grp, block, reach.
+
+    The largest part of a group is its main part, which needs no comparison within
+    itself. The other documents fill the blocks from 0 and meet all blocks of their
+    group; those of the main part fill the blocks after and meet the others' only:
+    ``reach`` is the number of blocks, from 0, that a document meets.
+    """
+    placed = stage(groups.join(parts.toDF("__node", "part"), F.col("node") == F.col("__node"), "left").select(
+        "node", F.col("root").alias("key"), F.coalesce("part", "node").alias("part")), "placed")
+    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    unfinished = (sizes.groupBy(F.col("key").alias("__key"))
+                  .agg(F.sum("n").alias("__n"), F.max(F.struct("n", "part")).alias("main"))
+                  .select("__key", "__n", F.col("main.part").alias("main"),
+                          F.ceil((F.col("__n") - F.col("main.n")) / BLOCK).cast("int").alias("rest_blocks"),
+                          F.ceil(F.col("main.n") / BLOCK).cast("int").alias("main_blocks")).filter("rest_blocks > 0"))
+    joined = join_heads(placed, unfinished, placed.count())
+    return joined.select(
+        "node", F.col("key").alias("grp"),
+        F.expr("if(part = main, rest_blocks + pmod(xxhash64(node), main_blocks), pmod(xxhash64(node), rest_blocks))")
+        .cast("int").alias("block"),
+        F.expr("if(part = main, rest_blocks, rest_blocks + main_blocks)").alias("reach"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -177,9 +221,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Equal sets are one representative from the start. Representatives that share a
     key of the multi-index are joined to the smallest one of that key: as many pairs
     as keys, however many share one. The groups these pairs connect hold every link
-    within the guaranteed distance. A group is then cut into blocks, and pairs of
-    blocks are compared exactly in separate tasks; each gives a forest of its links,
-    never all of them. No text, set or link passes through the driver.
+    within the guaranteed distance. Each representative is first compared with the one
+    it shares most keys with, which joins most copies at a cost linear in their number.
+    What this leaves apart in a group is cut into blocks and compared with all of the
+    group, pairs of blocks in separate tasks; each gives a forest of its links, never
+    all of them. No text, set or link passes through the driver.
 
     NULL, empty and blank texts have no shingles and are linked with nothing, as are
     rows with a NULL id (component_id NULL, kept). Rows that repeat an id are one
@@ -195,25 +241,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     heads = (keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail"),
                                       F.count(F.lit(1)).alias("__n")).filter("head <> tail")
              .select(F.col("key").alias("__key"), "head", "__n"))
-    pairs = (join_heads(keyed, heads, reps.count() * CHUNKS * CHUNK).filter("rep <> head")
-             .select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    groups = components(pairs, "candidates")
-
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    members = (groups.join(sizes, "root")
-               .select("node", F.col("root").alias("grp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-               .withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")))
-    texts = slim.join(members, F.col("doc_id") == F.col("node"))
-    names = ["doc_id", "grp", "blocks", "block"]
-    sets = texts.select(*names, "text").mapInArrow(
-        _with_sets(names), "doc_id long, grp long, blocks int, block int, shingles binary")
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = (sets.withColumn("other", other)
+    pairs = stage(join_heads(keyed, heads, reps.count() * CHUNKS * CHUNK).filter("rep <> head")
+                  .groupBy(F.col("rep").alias("a"), F.col("head").alias("b"))
+                  .agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    groups = components(pairs.select("a", "b"), "candidates")
+
+    closest = stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("key")), "closest")
+    wanted = groups.join(closest, F.col("node") == F.col("a"), "left").select("node", "key")
+    sets = stage(slim.join(wanted, F.col("doc_id") == F.col("node")).select("doc_id", "key", "text").mapInArrow(
+        _with_sets(["doc_id", "key"]), "doc_id long, key long, shingles binary"), "sets")
+    confirmed = stage(_against_closest(sets, closest).mapInArrow(_confirmed, "a long, b long"), "confirmed")
+    parts = components(confirmed, "parts")
+
+    members = _members(groups, parts)
+    dealt = (sets.join(members, F.col("doc_id") == F.col("node"))
+             .withColumn("other", F.explode(F.expr("sequence(0, reach - 1)")))
              .select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
                      "block", "doc_id", "shingles"))
     links = stage(dealt.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
                   .mapInArrow(_compare, "a long, b long"), "links")
-    linked = components(links, "components")
+    linked = components(confirmed.union(links), "components")
 
     by_set = reps.join(linked, F.col("rep") == F.col("node"), "left").select(
         F.col("set_hash").alias("__set"), F.coalesce("root", "rep").alias("component"))
