@@ -332,7 +332,12 @@ ORACLES: dict[str, str] = {
           n / total * 100 AS percent FROM embeddings LEFT JOIN v ON user_id = vec_id)
         SELECT *, CASE WHEN percent < 20 THEN 'red' WHEN percent <= 30 THEN 'yellow' WHEN percent > 30 THEN 'green' END AS band
         FROM s""",
-    "qb_likert_by_zone": f"WITH {LIKERT} {CELL_SHARES}",
+    "qb_likert_by_zone": f"""WITH {LIKERT}, shares AS ({CELL_SHARES}), balance AS (
+        SELECT zona, item, sum(n) FILTER (WHERE ordinal < 3) AS below, sum(n) FILTER (WHERE ordinal = 3) AS middle,
+          sum(n) FILTER (WHERE ordinal > 3) AS above, nullif(sum(n), 0)::DOUBLE AS total FROM cells GROUP BY zona, item)
+        SELECT s.*, below::DOUBLE / total * 100 AS low, middle::DOUBLE / total * 100 AS neutral,
+          above::DOUBLE / total * 100 AS high
+        FROM shares s JOIN balance b ON s.zona = b.zona AND s.item = b.item""",
     "qc_heatmap_cells": f"""WITH {LEVEL_ANSWERS}, {LEVELS},
         whole AS (SELECT * FROM levelled WHERE {' AND '.join(f'{i} IS NOT NULL' for i in ITEMS)}),
         long AS ({' UNION ALL '.join(f"SELECT zona, '{i}' AS item, {i} AS level FROM whole" for i in ITEMS)}),

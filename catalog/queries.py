@@ -210,10 +210,16 @@ def rollup_zone_lookup(spark, d):
 
 @query
 def zone_filter_pushdown(spark, d):
-    profile = b.customer_profile(spark, d)
-    chosen = [profile.filter(lv.belongs_to(F.col("port"), b.ZONES, z, b.OTHER)).withColumn("zona", F.lit(z))
-              for z in ("North", "otro")]
-    return chosen[0].unionByName(chosen[1])
+    """The zone's filter is put on the places as they are stored, before they are looked up."""
+    nation = b.table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    customer = b.table(spark, d, "customer")
+
+    def chosen(zone):
+        places = nation.filter(lv.belongs_to(F.col("n_name"), b.ZONES, zone, b.OTHER))
+        return customer.join(places, "c_nationkey").select(
+            F.col("c_custkey").alias("id"), F.nullif(F.col("n_name"), F.lit("NATION_24")).alias("port"), F.lit(zone).alias("zona"))
+
+    return chosen("North").unionByName(chosen(b.OTHER))
 
 
 PART_OF_PRIORITIES = {"1-URGENT": "Very Negative", "2-HIGH": "Negative", "5-LOW": "Very Positive"}
@@ -634,7 +640,7 @@ def qa_coverage_bands(spark, d):
 
 @query
 def qb_likert_by_zone(spark, d):
-    return lk.level_shares(_zone_item_counts(spark, d), b.LEVELS)
+    return lk.shares_and_balance(_zone_item_counts(spark, d), b.LEVELS)
 
 
 @query

@@ -93,12 +93,20 @@ def level_shares(counts: DataFrame, levels: Sequence[str], n: str = "n") -> Data
     return counts.select(*_keys(counts), F.inline(F.array(*rows)))
 
 
+def _balance(k: int, center: float | None = None) -> dict[str, Column]:
+    total = _n(range(1, k + 1))
+    return {name: ratio(_n(part), total)
+            for name, part in zip(("low", "neutral", "high"), _split(k, center), strict=True)}
+
+
 def low_neutral_high(counts: DataFrame, k: int, center: float | None = None) -> DataFrame:
     """Percent below, at and above the middle of a scale of ``k`` levels."""
-    total = _n(range(1, k + 1))
-    shares = [ratio(_n(part), total).alias(name)
-              for name, part in zip(("low", "neutral", "high"), _split(k, center), strict=True)]
-    return counts.select(*_keys(counts), *shares)
+    return counts.select(*_keys(counts), *[share.alias(name) for name, share in _balance(k, center).items()])
+
+
+def shares_and_balance(counts: DataFrame, levels: Sequence[str], center: float | None = None) -> DataFrame:
+    """``level_shares`` with the low, neutral and high percent of the item on each of its rows."""
+    return level_shares(counts.withColumns(_balance(len(levels), center)), levels)
 
 
 def mean_sd(counts: DataFrame, k: int) -> DataFrame:

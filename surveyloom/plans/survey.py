@@ -19,7 +19,7 @@ from surveyloom.functions.levels import (
 )
 from surveyloom.operators.columns import flag_empty_rows, named, row_sum
 from surveyloom.operators.counts import count_rows, sum_or_zero
-from surveyloom.operators.grids import densify, explode_domain
+from surveyloom.operators.grids import explode_domain
 from surveyloom.operators.joins import left_join
 from surveyloom.operators.likert import code_answers, code_counts, level_shares
 from surveyloom.operators.rows import drop_na_text, keep_in
@@ -107,6 +107,34 @@ def species_change(reports: DataFrame, places: Places, denominators: DataFrame,
                         F.inline(F.array(bar(down, "__down"), bar(up, "__up"))))
 
 
+def _months_of_keys(trips: DataFrame, key: str, month: str, gears: Sequence[str], domain: Sequence[str]) -> DataFrame:
+    """Per key an array of (month, present, gear sums, rows without gear), with an entry for each month of the domain.
+
+    A key's rows are summed by month before its months are gathered, so no array is
+    longer than the domain. Other months give no entry, but leave their key a row.
+    """
+    empty = "__none"
+    listed = trips.withColumn(month, F.when(named(month).isin(list(domain)), named(month)))
+    cells = sum_or_zero(flag_empty_rows(listed, gears, empty), [key, month], [*gears, empty])
+    types = {f.name: f.dataType for f in cells.schema}
+    found = F.struct(F.lit(True).alias("present"), *[named(c) for c in (*gears, empty)])
+    none = F.struct(F.lit(False).alias("present"), *[F.lit(0).cast(types[g]).alias(g) for g in gears],
+                    F.lit(1).cast(types[empty]).alias(empty))
+    by_month = F.map_from_entries(F.collect_list(F.when(named(month).isNotNull(), F.struct(named(month), found))))
+    per_key = cells.groupBy(named(key)).agg(by_month.alias("__found"))
+    entries = [F.struct(F.lit(m).alias(month), F.coalesce(F.try_element_at("__found", F.lit(m)), none).alias("__cell"))
+               for m in domain]
+    return per_key.select(named(key), F.array(*entries).alias("__months"))
+
+
+def _zones_of_keys(places: Places) -> DataFrame:
+    """Per key its zones, each with its number of profile rows, and the number of all of them: one row for each key."""
+    key, zone = named(places.key), named(places.zone)
+    per_zone = places.zone_of().groupBy(key, zone).agg(F.count(F.lit(1)).alias("n"))
+    return per_zone.groupBy(key).agg(F.collect_list(F.struct(zone.alias("zone"), F.col("n"))).alias("__zones"),
+                                     F.sum("n").alias("__profiles"))
+
+
 def gear_rotation(trips: DataFrame, places: Places, month: str, gears: Sequence[str], months: Mapping[str, str],
                   gear_labels: Mapping[str, str] | None = None, no_fishing: str = "No Fishing",
                   added_rows_keep_zone: bool = True) -> DataFrame:
@@ -114,26 +142,34 @@ def gear_rotation(trips: DataFrame, places: Places, month: str, gears: Sequence[
 
     Each respondent gets a row for every month; a month without any gear counts as
     "no fishing". With ``added_rows_keep_zone=False`` the rows added for months
-    without data stay in the NULL zone, as the zone came with the trips.
+    without data stay in the NULL zone, as the zone came with the trips, and the
+    profile is looked up twice: a respondent with several profile rows counts that
+    often again.
 
-    The gears are summed side by side before they become rows, so the trips are not
-    multiplied by the number of gears.
+    The trips are read once and summed per respondent and month before anything is
+    joined. Several profile rows are a weight of the sums, not more rows.
     """
-    key, zone, null_safe = places.key, places.zone, places.null_safe
+    key, zone = places.key, places.zone
     labelled = trips.withColumn(month, relabel(named(month), months))
-    domain = list(months.values())
+    per_key = _months_of_keys(labelled, key, month, gears, list(months.values()))
+    joined = left_join(per_key, _zones_of_keys(places), key, places.null_safe)
+    one = F.lit(1).cast("long")
+    own = F.coalesce(F.col("__zones"), F.array(F.struct(F.lit(places.default).alias("zone"), one.alias("n"))))
     if added_rows_keep_zone:
-        dense = densify(labelled, [key], month, domain, places.zone_of().drop(places.place), key, null_safe)
-        dense = dense.withColumn(zone, F.coalesce(named(zone), F.lit(places.default)))
+        shares = F.transform(own, lambda z: F.struct(z["zone"].alias("zone"), z["n"].alias("n"), F.lit(None).cast("boolean").alias("of")))
     else:
-        zoned = places.attach(labelled).drop(places.place)
-        place_of = places.profile.select(named(key), named(places.place))
-        dense = densify(zoned, [key], month, domain, place_of, key, null_safe, present=labelled)
+        profiles = F.coalesce("__profiles", one)
+        shares = F.concat(
+            F.transform(own, lambda z: F.struct(z["zone"].alias("zone"), (z["n"] * profiles).alias("n"), F.lit(True).alias("of"))),
+            F.array(F.struct(F.lit(None).cast("string").alias("zone"), profiles.alias("n"), F.lit(False).alias("of"))))
+    placed = joined.select("__months", F.explode(shares).alias("__z")).select("__z", F.inline("__months"))
+    placed = placed.filter(F.coalesce(F.col("__z.of") == F.col("__cell.present"), F.lit(True)))
 
-    flagged = flag_empty_rows(dense, gears, "__none")
-    sums = sum_or_zero(flagged, [zone, month], [*gears, "__none"])
-    names = {**{g: g for g in gears}, **(gear_labels or {}), "__none": no_fishing}
     methods = [*gears, "__none"]
+    weighted = placed.select(F.col("__z.zone").alias(zone), named(month),
+                             *[(F.col("__cell").getField(m) * F.col("__z.n")).alias(m) for m in methods])
+    sums = sum_or_zero(weighted, [zone, month], methods)
+    names = {**{g: g for g in gears}, **(gear_labels or {}), "__none": no_fishing}
     totals = sums.withColumn("total", row_sum(methods))
     rows = [F.struct(F.lit(names[m]).alias("fishing_method"), named(m).alias("total_value"),
                      F.col("total"), ratio(named(m), F.col("total")).alias("percent"))

@@ -83,6 +83,25 @@ def test_zone_filter_reaches_the_scan(spark):
         assert "n_name" in pushed
 
 
+def test_zone_query_filters_at_the_scan(spark):
+    pushed = re.findall(r"PushedFilters: \[(.*?), ReadSchema", plan(queries()["zone_filter_pushdown"](spark, SF_DIR)))
+    assert sum("In(n_name" in p for p in pushed) == 2
+
+
+@pytest.mark.parametrize("key", ["qe_gear_rotation", "qe_gear_rotation_parity"])
+def test_rotation_sums_before_it_joins(spark, key):
+    """One read of the trips, and the join meets a row for each key: a hot key is summed before."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries()[key](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"FileScan parquet \[o_", text)) == 1
+    below = text[text.index("Join [id"):]
+    assert below.index("Aggregate") < below.index("FileScan parquet [o_")
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(queries()["qb_likert_by_zone"](spark, SF_DIR))
     read = [r for r in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "l_suppkey" in r][0]
