@@ -348,6 +348,9 @@ ORACLES: dict[str, str] = {
         SELECT zona, item, level, CAST(ordinal AS INTEGER) AS ordinal, CAST(n AS BIGINT) AS count,
           n::DOUBLE / (sum(n) OVER (PARTITION BY zona, item))::DOUBLE * 100 AS percent FROM cells""",
     "qd_species_change": _species(""),
+    "qd_species_limits": f"""SELECT zona, count(*) FILTER (WHERE percent BETWEEN -60 AND 60) AS kept,
+        count(*) FILTER (WHERE percent IS NULL OR percent NOT BETWEEN -60 AND 60) AS dropped
+        FROM ({_species("")}) GROUP BY zona""",
     "qd_species_shortlist": _species("WHERE s.sp_cien IN ('Brand#3', 'Brand#17', 'Absent#2')"),
     "qe_gear_rotation": _rotation("c.zona"),
     "qe_gear_rotation_parity": _rotation("d.trip_zone"),

@@ -660,6 +660,11 @@ def qd_species_shortlist(spark, d):
                              "abundancia", b.ABUNDANCE, b.SPECIES, "respondents", shortlist=b.SHORTLIST)
 
 
+@query
+def qd_species_limits(spark, d):
+    return rw.censor_report(qd_species_change(spark, d), "percent", *b.SPECIES_LIMITS, "zona")
+
+
 def _rotation(spark, d, keep: bool) -> DataFrame:
     return sv.gear_rotation(b.trips(spark, d), _customers(spark, d), "mes", b.GEARS, b.MONTHS,
                             gear_labels=b.GEAR_LABELS, added_rows_keep_zone=keep)
