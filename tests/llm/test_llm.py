@@ -350,6 +350,16 @@ def test_passages(docs, texts, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 24, 39, 59])
+def test_passages_of_long_words(spark, size):
+    """Gaps and margins count words, so an exact copy is covered whole whatever the length of its words."""
+    r = random.Random(size)
+    copy = " ".join("".join(r.choice("abcdefgh") for _ in range(size)) for _ in range(1000))
+    got = passages.repeated_passages(spark.createDataFrame(
+        [(1, f"one two {copy}"), (2, f"{copy} three")], "doc_id long, text string")).collect()
+    assert [(x.doc_id, x.ref_id, x.start, x.end, x.n_words) for x in got] == [(2, 1, 0, len(copy), 1000)]
+
+
 def test_best_chain_is_the_best_of_all():
     r = random.Random(8)
     for _ in range(60):
