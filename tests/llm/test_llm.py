@@ -360,6 +360,22 @@ def test_passages_of_long_words(spark, size):
     assert [(x.doc_id, x.ref_id, x.start, x.end, x.n_words) for x in got] == [(2, 1, 0, len(copy), 1000)]
 
 
+
+def test_passage_whose_parts_stand_earlier(spark):
+    """Every short seed of the passage has document 1 or 2 as its first; only whole windows lead from 4 to 3."""
+    r = random.Random(3)
+    w = [f"word{k}" for k in range(60)]
+    parts = [w[:34], w[26:], w, w]
+    rows = [(i + 1, f"{sentence(r, 30)} {' '.join(p)} {sentence(r, 30)}") for i, p in enumerate(parts)]
+    # The same inside one reference: parts of the passage stand there before the whole.
+    v = [f"other{k}" for k in range(60)]
+    rows += [(5, " ".join([*v[26:], "a", *v[:34], "b", *v])), (6, " ".join(v))]
+    got = {(x.doc_id, x.ref_id): x for x in passages.repeated_passages(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == {(4, 3), (6, 5)}
+    assert all(x.n_words == x.n_same == 60 for x in got.values())
+
+
 def test_best_chain_is_the_best_of_all():
     r = random.Random(8)
     for _ in range(60):
