@@ -376,6 +376,32 @@ def test_passage_whose_parts_stand_earlier(spark):
     assert all(x.n_words == x.n_same == 60 for x in got.values())
 
 
+
+def test_recall_of_changed_passages(spark):
+    """Planted passages with 5 to 20 of 100 words changed at random, and with every n-th word changed."""
+    r = random.Random(11)
+    cases, rows = [], []
+
+    def plant(kind, n, changed):
+        cases.append(kind)
+        w = [f"w{r.randint(0, 9999)}" for _ in range(n)]
+        other = [f"x{r.randint(0, 9999)}" if k in changed else x for k, x in enumerate(w)]
+        for k, text in ((0, w), (1, other)):
+            around = [" ".join(f"f{r.randint(0, 99999)}" for _ in range(60)) for _ in range(2)]
+            rows.append((2 * len(cases) + k, f"{around[0]} {' '.join(text)} {around[1]}"))
+    for n in (50, 60, 100):
+        for share in (0.05, 0.1, 0.15, 0.2):
+            for _ in range(50):
+                plant((n, share), n, set(r.sample(range(1, n - 1), round(n * share))))
+    for step in (5, 8, 10, 12):
+        plant(("every", step), 60, set(range(step - 1, 59, step)))
+    found = {x.doc_id for x in passages.repeated_passages(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    missed = collections.Counter(kind for k, kind in enumerate(cases, 1) if 2 * k + 1 not in found)
+    print("missed", dict(missed))
+    assert not missed
+
+
 def test_best_chain_is_the_best_of_all():
     r = random.Random(8)
     for _ in range(60):
