@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyloom.llm import bpe, linededup, mixing, neardup, quality
 from surveyloom.llm.common import shared_root
@@ -15,10 +17,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; a NULL id stays out of the join and goes by its own verdict."""
-    rejected = (quality.quality_rules(docs).filter("not kept").select("doc_id").distinct()
-                .withColumnRenamed("doc_id", "__doc"))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__doc"]), "left_anti").select(COLUMNS)
+    """Documents that the quality rules reject go, each by its own verdict, also where ids are NULL or repeated.
+
+    The verdict follows from text, language and source, so rows that agree in these and
+    the id share it; the text is stood for by two hashes, 96 bits.
+    """
+    marked = docs.withColumns({"text_xx": F.xxhash64("text"), "text_mm": F.hash("text")})
+    keys = ["doc_id", "lang", "source", "text_xx", "text_mm"]
+    rejected = quality.quality_rules(marked, carry=("text_xx", "text_mm")).filter("not kept").select(*keys).distinct()
+    gone = rejected.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return marked.join(gone, same, "left_anti").select(COLUMNS)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

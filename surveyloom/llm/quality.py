@@ -161,8 +161,8 @@ def covariance_determinant(points: DataFrame, keys: list[str], steps: int = C_ST
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-                  source: str = "source") -> DataFrame:
-    """One row per document: id, lang, source, the five counts, base_failed, d2, kept.
+                  source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, lang, source, the columns to ``carry``, the five counts, base_failed, d2, kept.
 
     A document goes if it fails the base rule, or if its transformed statistics lie
     further from the robust centre of its language and source than the cutoff. Sources
@@ -172,7 +172,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     often as they occur; an empty table gives an empty result.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"),
-                       F.col(text).alias("text"))
+                       *carry, F.col(text).alias("text"))
     counted = stage(text_stats(slim).drop("text").withColumn("base_failed", base_failed()), "quality")
     points = counted.withColumns({f"x{i}": f for i, f in enumerate(features())})
     passing = points.filter(~F.col("base_failed"))

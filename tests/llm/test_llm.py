@@ -463,3 +463,14 @@ def test_pipeline(spark):
     assert set(frames[2][1].doc_id) == {order[k] for k, g in groups.items() if g[2]}
     assert set(frames[3][1].doc_id) == set(frames[3][0].doc_id)
     assert len(frames[4][1]) == len(frames[4][0])
+
+
+def test_pipeline_keeps_good_rows_of_null_and_repeated_ids(spark):
+    r = random.Random(17)
+    good = [sentence(r, 80) for _ in range(8)]
+    rows = [(None, good[0]), (None, good[1]), (None, "too short"), (None, None), (None, ""), (1, good[2]),
+            (1, "short too"), (1, good[3]), (1, good[3]), (2, good[4]), (3, "spam and eggs " * 40), (4, good[2])]
+    docs = spark.createDataFrame([(i, t, [None, "en"][k % 2], "a", len(t or "")) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_good(spark, docs, SF).collect()
+    assert sorted((str(x.doc_id), x.text) for x in left) == sorted((str(i), t) for i, t in rows if t in good)
