@@ -26,12 +26,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Elements, roles and words in class or id that mark what is not the article.
 ASIDE = frozenset("nav aside footer form button dialog menu head".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|"
+_ASIDE = (
+    r"(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|"
     r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|cookie|cookies|consent|gdpr|"
     r"notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|"
     r"recommended|comment|comments|disqus|reply|replies|respond|pagination|pager|toolbar|skip|masthead|copyright|"
-    r"legal|disclaimer)(?:$|[\s_-])")
+    r"legal|disclaimer)")
+
+#: A class or id counts as a whole: such a word, or several of them and words of place in a row (``site-footer``), but
+#: not ``has-sidebar`` or ``side-by-side``.
+_PLACE = r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|box|block|bar|list)"
+ASIDE_WORDS = re.compile(rf"(?<!\S)(?:{_PLACE}[_-])*{_ASIDE}(?:[_-](?:{_PLACE}|{_ASIDE}))*(?!\S)")
 
 #: Elements that end an open p, and those that end an open element of their own kind.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -40,19 +45,32 @@ ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _BLANKS = re.compile(r"\s+")
 
 
 class Element:
-    """An open element: its path, whether it is part of an article, and whether it stands aside."""
+    """An open element: its path, whether it is part of an article, and what sets it aside.
+
+    ``aside`` holds for what its tag, its role or an ancestor's says, ``label`` for what
+    its own class or id says.
+    """
+
+    __slots__ = ("parent", "name", "path", "article", "aside", "label")
 
-    __slots__ = ("name", "path", "article", "aside")
+    def __init__(self, parent, name, path, article, aside, label):
+        self.parent, self.name, self.path = parent, name, path
+        self.article, self.aside, self.label = article, aside, label
 
-    def __init__(self, name, path, article, aside):
-        self.name, self.path, self.article, self.aside = name, path, article, aside
+    def around(self) -> Iterator[Element]:
+        """The element and those around it."""
+        element = self
+        while element is not None:
+            yield element
+            element = element.parent
 
 
 def _open(parent: Element, name: str, attributes: str) -> Element:
@@ -61,9 +79,10 @@ def _open(parent: Element, name: str, attributes: str) -> Element:
     article = parent.article or name in ("article", "main") or marks.get("role") in ("main", "article") or \
         "articlebody" in marks.get("itemprop", "")
     aside = (parent.aside or name in ASIDE or marks.get("role") in ASIDE_ROLES
-             or (name == "header" and not parent.article)
-             or (name not in ("html", "body", "article", "main") and bool(label) and bool(ASIDE_WORDS.search(label))))
-    return Element(name, f"{parent.path}/{name}.{label}" if label else f"{parent.path}/{name}", article, aside)
+             or (name == "header" and not parent.article))
+    named = name not in ("html", "body", "article", "main") and bool(label) and bool(ASIDE_WORDS.search(label))
+    return Element(parent, name, f"{parent.path}/{name}.{label}" if label else f"{parent.path}/{name}", article, aside,
+                   named)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
@@ -73,7 +92,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
     elements around it, so that equal tags in different places differ. Inline tags
     make no path. Elements left open are closed by what may not stand inside them.
     """
-    stack = [Element("", "", False, False)]
+    stack = [Element(None, "", "", False, False, False)]
     at = 0
 
     def text(raw):
@@ -187,40 +206,64 @@ def valid_template(page: list[tuple], classes: list[list[int]]) -> dict[int, int
     return marked
 
 
+def _wrappers(blocks: list[tuple[Element, str]]) -> set[Element]:
+    """Elements with half or more of the page's text, most of it in an article: a label does not set these aside."""
+    total: dict[Element, int] = defaultdict(int)
+    inner: dict[Element, int] = defaultdict(int)
+    for home, text in blocks:
+        if not home.aside:
+            for element in home.around():
+                total[element] += len(text)
+                if home.article and not element.article:
+                    inner[element] += len(text)
+    whole = max(total.values(), default=0)
+    return {e for e, n in total.items() if 2 * n >= whole and 2 * inner[e] > n}
+
+
+def _blocks(page: list[tuple], marked: dict[int, int]) -> list[tuple[Element, str]]:
+    """The texts of the slots, each with its element."""
+    out: list[tuple[Element, str]] = []
+    block: list[str] = []
+    home: Element | None = None
+
+    def close():
+        text = _BLANKS.sub(" ", "".join(block)).strip()
+        if text and home is not None:
+            out.append((home, text))
+        block.clear()
+
+    for i, (kind, _, element, shown, _) in enumerate(page):
+        if kind != "text":
+            close()
+            home = None
+        elif i not in marked or element.article:
+            if home is None or element is not home:
+                close()
+                home = element
+            block.append(shown)
+    close()
+    return out
+
+
 def main_text(page: str | None, classes: list[list[int]] | None) -> str:
     """Blocks of the slots that hold the article, joined by an empty line.
 
     Tokens of valid classes are the template. What lies between them are slots; those
     that stand aside (menus, adverts, notices, comments) are dropped. Of the others,
     the slots inside an article or main element are taken if they hold text, else all.
-    A page that is all template, as a host of equal pages has it, is read without one.
+    A page that is all template, as a host of equal pages has it, is read without one,
+    and a page whose labels set all of it aside is read without them.
     """
     page = [(*t, _role(t[0], t[1])) for t in tokens(page or "")]
-    for marked in ([valid_template(page, classes)] if classes else []) + [{}]:
-        inner, outer = [], []
-        block: list[str] = []
-        home: Element | None = None
-
-        def close():
-            text = _BLANKS.sub(" ", "".join(block)).strip()
-            if text and home is not None and not home.aside:
-                outer.append(text)
-                if home.article:
-                    inner.append(text)
-            block.clear()
-
-        for i, (kind, _, element, shown, _) in enumerate(page):
-            if kind != "text":
-                close()
-                home = None
-            elif i not in marked or element.article:
-                if home is None or element is not home:
-                    close()
-                    home = element
-                block.append(shown)
-        close()
-        if inner or outer:
-            return "\n\n".join(inner or outer)
+    for labels in (True, False):
+        for marked in ([valid_template(page, classes)] if classes else []) + [{}]:
+            blocks = _blocks(page, marked)
+            free = _wrappers(blocks) if labels else set()
+            kept = [(home, text) for home, text in blocks if not home.aside and not (
+                labels and any(e.label and e not in free for e in home.around()))]
+            inner = [text for home, text in kept if home.article]
+            if kept:
+                return "\n\n".join(inner or [text for _, text in kept])
     return ""
 
 

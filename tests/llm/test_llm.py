@@ -336,6 +336,23 @@ def test_pages_that_are_all_alike_keep_their_text(spark):
     assert {r.text for r in pages.extract_main_text(df).collect()} == {"Same words"}
 
 
+@pytest.mark.parametrize("mark", ["class='layout has-sidebar'", "class=no-sidebar", "class='with-sidebar'",
+                                  "class='side-by-side'", "id='legal'"])
+def test_labels_of_wrappers_keep_the_article(mark):
+    page = (f"<body><div class='site-footer'>Foot</div><div {mark}><article><p>Body text of the page</p></article>"
+            "<div class=sidebar>Links</div></div></body>")
+    assert pages.main_text(page, None) == "Body text of the page"
+    assert pages.main_text(f"<body><div {mark}><p>Only text</p></div></body>", None) == "Only text"
+    assert pages.main_text("<div class='related'><article>Teaser</article></div><article>Long body text</article>",
+                           None) == "Long body text"
+
+
+@pytest.mark.parametrize("name", ["svg", "math"])
+def test_self_closed_drawings_end_at_once(name):
+    assert pages.main_text(f"<p>One</p><{name} a='/>' b=c/><p>Two</p><{name} a=b><x/>gone</{name}><p>Three</p>",
+                           None) == "One\n\nTwo\n\nThree"
+
+
 def test_passages(docs, texts, nothing):
     got = passages.repeated_passages(docs).collect()
     owners = collections.defaultdict(set)
