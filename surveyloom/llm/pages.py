@@ -59,10 +59,10 @@ class Element:
     its own class or id says.
     """
 
-    __slots__ = ("parent", "name", "path", "article", "aside", "label")
+    __slots__ = ("parent", "name", "path", "main", "article", "aside", "label")
 
-    def __init__(self, parent, name, path, article, aside, label):
-        self.parent, self.name, self.path = parent, name, path
+    def __init__(self, parent, name, path, main, article, aside, label):
+        self.parent, self.name, self.path, self.main = parent, name, path, main
         self.article, self.aside, self.label = article, aside, label
 
     def around(self) -> Iterator[Element]:
@@ -81,8 +81,9 @@ def _open(parent: Element, name: str, attributes: str) -> Element:
     aside = (parent.aside or name in ASIDE or marks.get("role") in ASIDE_ROLES
              or (name == "header" and not parent.article))
     named = name not in ("html", "body", "article", "main") and bool(label) and bool(ASIDE_WORDS.search(label))
-    return Element(parent, name, f"{parent.path}/{name}.{label}" if label else f"{parent.path}/{name}", article, aside,
-                   named)
+    main = parent.main or name == "main" or marks.get("role") == "main"
+    return Element(parent, name, f"{parent.path}/{name}.{label}" if label else f"{parent.path}/{name}", main, article,
+                   aside, named)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
@@ -92,7 +93,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
     elements around it, so that equal tags in different places differ. Inline tags
     make no path. Elements left open are closed by what may not stand inside them.
     """
-    stack = [Element(None, "", "", False, False, False)]
+    stack = [Element(None, "", "", False, False, False, False)]
     at = 0
 
     def text(raw):
@@ -143,8 +144,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html")), strict=True):
             counts: dict[int, int] = defaultdict(int)
-            for kind, role, element, shown in tokens(page or ""):
-                if kind != "text" or (shown.strip() and not element.article):
+            for kind, role, _, shown in tokens(page or ""):
+                if kind != "text" or shown.strip():
                     counts[_role(kind, role)] += 1
             one, two = key & 0x7FFFFFFF, (key >> 32) & 0x7FFFFFFF
             for role, n in counts.items():
@@ -221,7 +222,11 @@ def _wrappers(blocks: list[tuple[Element, str]]) -> set[Element]:
 
 
 def _blocks(page: list[tuple], marked: dict[int, int]) -> list[tuple[Element, str]]:
-    """The texts of the slots, each with its element."""
+    """The texts of the slots, each with its element.
+
+    A text in an article is template only together with its element, whose tag must
+    belong to the same class: a paragraph among others like it stays.
+    """
     out: list[tuple[Element, str]] = []
     block: list[str] = []
     home: Element | None = None
@@ -232,11 +237,14 @@ def _blocks(page: list[tuple], marked: dict[int, int]) -> list[tuple[Element, st
             out.append((home, text))
         block.clear()
 
+    opened: dict[Element, int] = {}
     for i, (kind, _, element, shown, _) in enumerate(page):
         if kind != "text":
             close()
             home = None
-        elif i not in marked or element.article:
+            if kind == "open":
+                opened[element] = i
+        elif i not in marked or (element.article and marked.get(opened.get(element)) != marked[i]):
             if home is None or element is not home:
                 close()
                 home = element
@@ -245,12 +253,41 @@ def _blocks(page: list[tuple], marked: dict[int, int]) -> list[tuple[Element, st
     return out
 
 
+def _picked(kept: list[tuple[Element, str]], template: bool) -> list[str]:
+    """The slots that make the main text.
+
+    Without a template, those of article and main elements, else all. With one, the
+    articles are weighed against the slots outside of them: if one article has the
+    most text, only articles are taken; else all slots, but without articles if these
+    are several and together have less (teasers).
+    """
+    if not template:
+        return [t for home, t in kept if home.article] or [t for _, t in kept]
+    def article(home):
+        """The innermost article element inside main, elsewhere the outermost element marked as article."""
+        marks = [e for e in home.around() if e.name == "article" or (e.article and not home.main)]
+        return (marks[0] if home.main else marks[-1]) if marks else None
+
+    within = [(t, home.main, article(home)) for home, t in kept]
+    if 2 * sum(len(t) for t, main, _ in within if main) >= sum(len(t) for t, _, _ in within):
+        within = [x for x in within if x[1]] or within
+    size: dict[Element | None, int] = defaultdict(int)
+    for t, _, region in within:
+        size[region] += len(t)
+    rest = size.pop(None, 0)
+    if size and max(size.values()) >= rest:
+        return [t for t, _, region in within if region]
+    if len(size) > 1 and sum(size.values()) < rest:
+        return [t for t, _, region in within if not region]
+    return [t for t, _, _ in within]
+
+
 def main_text(page: str | None, classes: list[list[int]] | None) -> str:
     """Blocks of the slots that hold the article, joined by an empty line.
 
     Tokens of valid classes are the template. What lies between them are slots; those
-    that stand aside (menus, adverts, notices, comments) are dropped. Of the others,
-    the slots inside an article or main element are taken if they hold text, else all.
+    that stand aside (menus, adverts, notices, comments) are dropped, and of the others
+    the main text is picked.
     A page that is all template, as a host of equal pages has it, is read without one,
     and a page whose labels set all of it aside is read without them.
     """
@@ -261,9 +298,8 @@ def main_text(page: str | None, classes: list[list[int]] | None) -> str:
             free = _wrappers(blocks) if labels else set()
             kept = [(home, text) for home, text in blocks if not home.aside and not (
                 labels and any(e.label and e not in free for e in home.around()))]
-            inner = [text for home, text in kept if home.article]
             if kept:
-                return "\n\n".join(inner or [text for _, text in kept])
+                return "\n\n".join(_picked(kept, bool(marked)))
     return ""
 
 

@@ -336,6 +336,25 @@ def test_pages_that_are_all_alike_keep_their_text(spark):
     assert {r.text for r in pages.extract_main_text(df).collect()} == {"Same words"}
 
 
+def test_template_reaches_into_articles_and_slots_outweigh_teasers(spark):
+    rows = []
+    for i in range(6):
+        own = f"<h1>Title {i}</h1><p>{'body words ' * 20}{i}</p><p>End of {i}</p>"
+        rows += [
+            (i, "http://bio.example/", PAGE.format(i, f"<article>{own}<p class=more>Get our mail</p><div class=bio><p>"
+                                                      f"The author writes here</p></div></article>")),
+            (10 + i, "http://teaser.example/", PAGE.format(i, f"<div class=entry-content>{own}</div><article>Next: "
+                                                              f"{i + 1}</article><article>Last: {i - 1}</article>")),
+            (20 + i, "http://main.example/", PAGE.format(i, f"<div>Seen {i} times</div><main><div>{own}</div>"
+                                                            f"<article>Next: {i}</article><article>Last: {i}</article>"
+                                                            f"</main>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_main_text(df).collect()}
+    for i in range(6):
+        for base in (0, 10, 20):
+            assert got[base + i] == f"Title {i}\n\n{'body words ' * 20}{i}\n\nEnd of {i}"
+
+
 @pytest.mark.parametrize("mark", ["class='layout has-sidebar'", "class=no-sidebar", "class='with-sidebar'",
                                   "class='side-by-side'", "id='legal'"])
 def test_labels_of_wrappers_keep_the_article(mark):
