@@ -413,6 +413,18 @@ def test_passage_whose_parts_stand_earlier(spark):
 
 
 
+def test_passages_whose_seeds_all_stand_earlier(spark):
+    """Every part of 49 words stands in a document of its own before the two that hold all 60."""
+    rows = []
+    for m in range(20):
+        w = [f"p{m}x{k}" for k in range(60)]
+        for n, part in enumerate([*[w[k:k + 49] for k in range(12)], w, w]):
+            edge = [" ".join(f"f{m}x{n}x{side}x{k}" for k in range(30)) for side in (0, 1)]
+            rows.append((100 * m + n, f"{edge[0]} {' '.join(part)} {edge[1]}"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.ref_id) for x in got if x.n_words == x.n_same == 60}
+    assert found == {(100 * m + 13, 100 * m + 12) for m in range(20)}
+
 def test_recall_of_changed_passages(spark):
     """Planted passages with 5 to 20 of 100 words changed at random, and with every n-th word changed."""
     r = random.Random(11)
