@@ -168,5 +168,5 @@ ORACLES: dict[str, str] = {
         ranked AS (
             SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
             FROM scores)
-        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""".replace("\\", "\"),
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
