@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveyloom.llm.common import shared_root
+from surveyloom.llm.textscan import flat_text
 
 MAGIC, END = b"PFORIDS1", b"PFOREND\n"
 HEADER = struct.Struct("<8s8q")
@@ -48,10 +50,10 @@ FITTING = 0.9
 SEGMENT_IDS, FILE_SEGMENTS = 1 << 18, 64
 
 #: Bytes of texts that are encoded at a time.
-AT_A_TIME = 1 << 22
+AT_A_TIME = 1 << 21
 
-#: Runs of letters whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Pieces of text whose ids a worker remembers, in each of two generations.
+REMEMBERED = 250_000
 
 _POWERS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
@@ -166,13 +168,35 @@ def segments(content: memoryview) -> Iterator[Segment]:
 
 # ---- encoding ----------------------------------------------------------------------------
 
-class LibraryEncoder:
-    """Ids of many texts by the tokenizers library, which sees each run of letters between blanks once.
+# Kinds of bytes: blanks, letters, digits, other ASCII, the apostrophe, and all beyond ASCII.
+_BLANK, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _BEYOND = range(6)
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[list(b" \t\n\v\f\r")] = _BLANK
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[list(b"'")] = _APOSTROPHE
+_KIND[128:] = _BEYOND
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+#: Whether a word of the vocabulary's pattern always ends between two kinds. Signs and apostrophes run on into each
+#: other, an apostrophe into letters, and what is beyond ASCII can be anything.
+_ENDS = np.zeros((6, 6), bool)
+for _pair in ((_LETTER, _DIGIT), (_LETTER, _SIGN), (_LETTER, _APOSTROPHE), (_DIGIT, _LETTER), (_DIGIT, _DIGIT),
+              (_DIGIT, _SIGN), (_DIGIT, _APOSTROPHE), (_SIGN, _LETTER), (_SIGN, _DIGIT), (_APOSTROPHE, _DIGIT)):
+    _ENDS[_pair] = True
+
 
-    No word of the vocabulary's pattern reaches over an ASCII blank, and no step before it
-    (composition, lower case) looks across one, so the ids of a text are those of its
-    runs, one after the other. A slice's runs are made distinct by Arrow; runs met in
-    earlier slices are remembered, in two generations of bounded size.
+class LibraryEncoder:
+    """Ids of many texts by the tokenizers library, which sees each piece of text once.
+
+    Pieces end at ASCII blanks, and where kinds of ASCII characters meet between which the
+    vocabulary's pattern always ends a word; no step before it (composition, lower case)
+    looks across such a place, so the ids of a text are those of its pieces, one after the
+    other. Texts with the beginning of a special token are cut at blanks only, and kept in
+    their case. A slice's pieces are made distinct by Arrow; those met in earlier slices are
+    remembered, in two generations of bounded size. Pieces of plain letters go to the
+    library's model at once, others through its whole chain.
     """
 
     def __init__(self, spec: str):
@@ -181,39 +205,62 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
-
-    def _learn(self, runs: list[str]) -> list[np.ndarray]:
-        found = [self.known.get(r) for r in runs]
+        self.model = self.library.model
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, 32 bits each."""
+        known, older = self.known, self.older
+        found = [known.get(p) for p in pieces]
+        rest = []
         for i, ids in enumerate(found):
-            if ids is None and (ids := self.older.get(runs[i])) is not None:
-                found[i] = self.known[runs[i]] = ids
-        new = [i for i, ids in enumerate(found) if ids is None]
-        for i, one in zip(new, self.library.encode_batch_fast([runs[i] for i in new], add_special_tokens=False)):
-            found[i] = self.known[runs[i]] = np.array(one.ids, np.uint16 if self.small else np.uint32)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+            if ids is not None:
+                continue
+            piece = pieces[i]
+            if (ids := older.get(piece)) is None:
+                if not (piece.isascii() and piece.isalpha() and piece.islower()):
+                    rest.append(i)
+                    continue
+                ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            found[i] = known[piece] = ids
+        for i, one in zip(rest, self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            found[i] = known[pieces[i]] = array("I", one.ids).tobytes()
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
         return found
 
-    @property
-    def small(self) -> bool:
-        return self.library.get_vocab_size() <= 1 << 16
+    def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        data, at = flat_text(texts)
+        if not len(data):
+            return pc.ascii_split_whitespace(pc.fill_null(texts, "")).cast(pa.large_list(pa.large_string()))
+        kinds = _KIND[data]
+        cut = np.flatnonzero(_ENDS.ravel()[kinds[:-1] * np.uint8(6) + kinds[1:]]) + 1
+        special = pc.match_substring(pc.fill_null(texts, ""), "<|").to_numpy(zero_copy_only=False)
+        lower = _LOWER[data]
+        if special.any():
+            whole = np.repeat(special, np.diff(at))
+            lower, cut = np.where(whole, data, lower), cut[~whole[cut]]
+        spread = np.insert(lower, cut, 32)
+        places = at + np.searchsorted(cut, at, "left")
+        apart = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(places), pa.py_buffer(spread)])
+        return pc.ascii_split_whitespace(apart)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the places between texts; NULL and empty texts have none."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        lists = self._pieces(texts)
         flat = lists.flatten().dictionary_encode()
-        runs = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         found = self._learn(flat.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        every = np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        every = np.frombuffer(b"".join(found), np.uint32)
         which = flat.indices.to_numpy()
         n = size[which]
         through = np.concatenate([[0], np.cumsum(n)])
         starts = np.concatenate([[0], np.cumsum(size)])[which]
-        ids = every[np.arange(through[-1]) + np.repeat(starts - through[:-1], n)]
-        return ids, through[np.concatenate([[0], np.cumsum(runs)])]
+        starts -= through[:-1]
+        places = np.repeat(starts, n)
+        places += np.arange(through[-1])
+        return every[places], through[lists.offsets.to_numpy()]
 
 
 @lru_cache(maxsize=1)
