@@ -13,8 +13,9 @@ def interleave(rows: DataFrame, n_shards: int, stratum: str, tie: list[str], see
 
     Rows are shuffled by a seeded hash and ranked within their stratum; ranks become
     fractions of the stratum, and the order of all fractions is cut into shards whose
-    counts differ by at most one. A stratum with n rows has n / n_shards rows in each
-    shard, give or take less than two.
+    counts differ by at most one. Each stratum's fractions begin at a phase of its own,
+    drawn from its hash, so that small strata do not all lie at the same places: a stratum
+    of one row is as likely in any shard, and many of them are spread evenly.
 
     Both orders are numbered bucket by bucket (``exact_rank``), so neither a hot
     stratum nor the whole table is sorted in one task. ``tie`` names columns that tell
@@ -28,9 +29,9 @@ def interleave(rows: DataFrame, n_shards: int, stratum: str, tie: list[str], see
     hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed).cast("long"), *tie))
     ranked = exact_rank(hashed, stratum, [F.col("__h"), *[F.col(t) for t in tie]],
                         F.shiftright("__h", 64 - bits), "__n", "__r")
-    odd = F.col("__r") * 2 - 1
-    placed = stage(ranked.withColumn("__f", odd / (F.col("__n") * 2))
-                   .withColumn("__cut", F.floor(odd * buckets / (F.col("__n") * 2)).cast("long"))
+    phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1).cast("long"), stratum), 12) / F.lit(float(1 << 52))
+    placed = stage(ranked.withColumn("__f", (F.col("__r") - phase) / F.col("__n"))
+                   .withColumn("__cut", F.floor(F.col("__f") * buckets).cast("long"))
                    .withColumn("__all", F.lit(0)).drop("__r", "__n"), "shards")
     order = [F.col("__f"), F.xxhash64(stratum), F.col("__h"), *[F.col(t) for t in tie]]
     lined = exact_rank(placed, "__all", order, F.col("__cut"), "__n", "__r")
@@ -48,7 +49,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = 11, id_col:
     The law is ``rows``: shard counts are at most one apart. A NULL text has no bytes;
     its checksum is that of the empty text. Copies are rows like any others, because a
     group of copies can be larger than a shard. Repeated rows keep their number. Only
-    ids, sizes and checksums are shuffled, never texts.
+    ids, sizes and checksums are shuffled, never texts. An empty table gives an empty result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     slim = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
