@@ -62,23 +62,21 @@ def supplier_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier.join(nation, "s_nationkey", "left").select(F.col("s_suppkey").alias("id"), _place())
 
 
-def _bucket(value: Column, bounds: list[float], na_from: float, null_from: float) -> Column:
+def _bucket(value: str, bounds: list[float], na_from: float, null_from: float, name: str) -> Column:
     """Five raw answers by upper bound, then the text NA, then NULL."""
-    cases = F.when(value >= null_from, F.lit(None)).when(value >= na_from, F.lit("NA"))
-    for bound, answer in zip(bounds, RAW_ANSWERS, strict=False):
-        cases = cases.when(value <= bound, answer)
-    return cases.otherwise(RAW_ANSWERS[-1])
+    cases = [f"when {value} >= {null_from} then null", f"when {value} >= {na_from} then 'NA'",
+             *[f"when {value} <= {bound} then '{answer}'" for bound, answer in zip(bounds, RAW_ANSWERS, strict=False)]]
+    return F.expr(f"case {' '.join(cases)} else '{RAW_ANSWERS[-1]}' end as {name}")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four items side by side: one interview per order line, the supplier answers."""
-    hundredths = lambda name: F.floor(F.col(name) * 100 + 0.5).cast("int")
+    discount, tax = (f"cast(floor(l_{name} * 100 + 0.5D) as int)" for name in ("discount", "tax"))
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber",
-        _bucket(F.col("l_quantity"), [10, 20, 30, 40], 49, 50).alias("quantity"),
-        _bucket(hundredths("l_discount"), [1, 3, 5, 7], 10, 11).alias("discount"),
-        _bucket(hundredths("l_tax"), [0, 2, 4, 6], 9, 8).alias("tax"),
-        _bucket(F.col("l_extendedprice"), [20000, 40000, 60000, 80000], 103000, 104000).alias("price"))
+        _bucket("l_quantity", [10, 20, 30, 40], 49, 50, "quantity"),
+        _bucket(discount, [1, 3, 5, 7], 10, 11, "discount"), _bucket(tax, [0, 2, 4, 6], 9, 8, "tax"),
+        _bucket("l_extendedprice", [20000, 40000, 60000, 80000], 103000, 104000, "price"))
 
 
 def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:

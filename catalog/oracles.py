@@ -144,6 +144,16 @@ ORACLES: dict[str, str] = {
     "src_load_all": " UNION ALL ".join(
         f"SELECT '{t}' AS name, {c}::INTEGER AS n_columns, count(*) AS n_rows FROM {t}" for t, c in TABLES.items()),
     "src_load_table": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "src_sound_and_rejected": """WITH o AS (SELECT *, o_orderkey % 41 AS kind,
+          CASE WHEN o_orderkey % 41 = 5 THEN '' WHEN o_orderkey % 41 = 6 THEN '"a, b"' ELSE o_orderpriority END AS p FROM orders)
+        SELECT CASE WHEN kind NOT IN (1, 2, 3, 4) THEN o_orderkey END AS o_orderkey,
+          CASE WHEN kind NOT IN (1, 2, 3, 4) THEN o_totalprice END AS o_totalprice,
+          CASE WHEN kind = 6 THEN 'a, b' WHEN kind NOT IN (1, 2, 3, 4, 5) THEN o_orderpriority END AS o_orderpriority,
+          CASE kind WHEN 1 THEN 'o_totalprice: no double' WHEN 2 THEN 'too many fields' WHEN 3 THEN 'too few fields'
+            WHEN 4 THEN 'o_orderkey: no bigint' END AS reason,
+          CASE kind WHEN 1 THEN o_orderkey || ',unknown,' || p WHEN 2 THEN o_orderkey || ',' || price || ',' || p || ',more'
+            WHEN 3 THEN o_orderkey || ',' || price WHEN 4 THEN 'k' || o_orderkey || ',' || price || ',' || p END AS line
+        FROM (SELECT *, CAST(o_totalprice AS VARCHAR) AS price FROM o)""",
     "src_inline_table": f"""WITH {PRIORITY_LEVELS}
         SELECT level AS o_orderpriority, ordinal::INTEGER AS ordinal, 0::INTEGER AS "Decrease",
           count(o_orderkey) AS n FROM levels LEFT JOIN orders ON o_orderpriority = level GROUP BY ALL""",
@@ -153,6 +163,8 @@ ORACLES: dict[str, str] = {
     "sink_csv_indexed": """SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS "row", o_orderkey,
         o_totalprice, o_orderpriority FROM orders""",
     "sink_partitioned": f"WITH {CUSTOMERS} SELECT id, port, zona FROM customers",
+    "sink_replace_partitions": f"""WITH {CUSTOMERS} SELECT id, CASE WHEN zona IN ('North', 'otro') THEN 'again' ELSE port END AS port,
+        zona FROM customers WHERE zona NOT IN ('North', 'otro') OR id % 2 = 0""",
     "preview_head": """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders
         ORDER BY o_totalprice, o_orderkey LIMIT 6""",
     "level_domain_report": f"WITH {ANSWERS}, raw AS (" + " UNION ALL ".join(
@@ -185,10 +197,12 @@ ORACLES: dict[str, str] = {
     "recode_lookup": RECODED,
     "ordered_levels": f"""WITH {PRIORITIES} SELECT o_orderkey,
         CASE WHEN answer IN ('5-LOW', '4-NOT SPECIFIED', '2-HIGH') THEN answer END AS level,
-        CASE answer WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '2-HIGH' THEN 3 END::DOUBLE AS ordinal FROM priorities""",
+        CASE answer WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 0 END::INT AS ordinal,
+        coalesce(answer NOT IN ('5-LOW', '4-NOT SPECIFIED', '2-HIGH'), TRUE) AS unlisted FROM priorities""",
     "ordered_relabel": """SELECT l_orderkey, l_linenumber,
         CASE l_returnflag WHEN 'A' THEN 'Decrease' WHEN 'R' THEN 'Increase' END AS level,
-        CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END::DOUBLE AS ordinal FROM lineitem""",
+        CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END::INT AS ordinal,
+        coalesce(l_returnflag NOT IN ('A', 'R'), TRUE) AS unlisted FROM lineitem""",
     "apply_columns": f"WITH {ANSWERS} SELECT id, l_orderkey, l_linenumber, "
         + ", ".join(f"{_lev(i)} AS {i}" for i in ITEMS) + " FROM answers",
     "filter_eq": "SELECT event_id, user_id FROM events WHERE event_type = 'error'",
@@ -205,6 +219,10 @@ ORACLES: dict[str, str] = {
     "range_censor": f"WITH {MIRRORED} SELECT * FROM mirrored WHERE value >= -60 AND value <= 60",
     "range_censor_report": f"""WITH {MIRRORED} SELECT event_type, count(*) FILTER (WHERE abs(value) <= 60) AS kept,
         count(*) FILTER (WHERE abs(value) > 60) AS dropped FROM mirrored GROUP BY event_type""",
+    "range_censor_losses": f"""WITH {MIRRORED}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE value < -60) AS below,
+          count(*) FILTER (WHERE value > 60) AS above, count(*) FILTER (WHERE value IS NULL) AS missing FROM mirrored)
+        SELECT 'censor' AS analysis, 'below' AS loss, total, below AS lost FROM c UNION ALL SELECT 'censor', 'above', total, above FROM c
+        UNION ALL SELECT 'censor', 'missing', total, missing FROM c""",
     "make_point": f"WITH {COORDS} SELECT vec_id, lon AS x, lat AS y, 4326 AS srid FROM coords",
     "layer_union": """SELECT c_custkey AS id, c_acctbal AS balance, 'customers' AS layer FROM customer
         UNION ALL SELECT s_suppkey, s_acctbal, 'suppliers' FROM supplier""",
@@ -241,6 +259,10 @@ ORACLES: dict[str, str] = {
           CROSS JOIN (SELECT unnest(range(1, 131)) AS i))
         SELECT coalesce(g.id, c.id) AS id, coalesce(g.sp_cien, c.sp_cien) AS sp_cien, coalesce(c.n, 0) AS n
         FROM grid g FULL JOIN cells c ON c.id = g.id AND c.sp_cien = g.sp_cien""",
+    "complete_observed": f"""WITH {REPORTS}, cells AS (SELECT id, concat_ws(' ', sp_cien, abundancia) AS report, count(*) AS n
+          FROM reports GROUP BY ALL)
+        SELECT i.id, l.report, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT id FROM cells) i
+        CROSS JOIN (SELECT DISTINCT report FROM cells) l LEFT JOIN cells c ON c.id = i.id AND c.report = l.report""",
     "count_by_group": f"WITH {CUSTOMERS} SELECT zona, count(*) AS recuento FROM customers GROUP BY zona",
     "count_two_keys": f"WITH {OPINIONS} SELECT zona, sub_answer, count(*) AS count FROM zoned GROUP BY ALL",
     "count_named": f"""WITH {OPINIONS} SELECT answer, sub_answer, count(*) AS "Freq" FROM opinions GROUP BY ALL""",
@@ -285,6 +307,17 @@ ORACLES: dict[str, str] = {
         grid AS (SELECT i / 4.0::DOUBLE AS x FROM (SELECT unnest(range(0, 25)) AS i))
         SELECT zona, item, x::DOUBLE AS x, round(sum(n * exp(-0.5 * ((x - ordinal) / 0.5) ** 2))
           / (sum(n) * 0.5 * sqrt(2 * pi())), 9) AS density FROM counted CROSS JOIN grid GROUP BY ALL""",
+    "ordinal_density_auto": f"""WITH {LEVEL_ANSWERS}, {LEVELS}, {LONG},
+        given AS (SELECT zona, item, ordinal FROM long JOIN levels ON levels.level = long.level),
+        measured AS (SELECT zona, item, count(*) AS n, avg(ordinal) AS mean, stddev_samp(ordinal) AS sd,
+          (quantile_cont(ordinal, 0.75) - quantile_cont(ordinal, 0.25)) / 1.34 AS spread FROM given GROUP BY ALL),
+        ruled AS (SELECT zona, item, CASE WHEN n > 1 THEN 0.9 * n::DOUBLE ** -0.2::DOUBLE * CASE WHEN least(sd, spread) > 0
+          THEN least(sd, spread) WHEN sd > 0 THEN sd ELSE mean END END AS h FROM measured),
+        counted AS (SELECT zona, item, ordinal, count(*) AS n FROM given GROUP BY ALL),
+        grid AS (SELECT i / 4.0::DOUBLE AS x FROM (SELECT unnest(range(0, 25)) AS i))
+        SELECT zona, item, round(any_value(h), 9) AS bandwidth, x::DOUBLE AS x, round(sum(n * exp(-0.5 * ((x - ordinal) / h) ** 2))
+          / (sum(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+        FROM counted JOIN ruled USING (zona, item) CROSS JOIN grid GROUP BY zona, item, x""",
     "pie_donut_by_group": _donut("ring"),
     "pie_donut_of_total": _donut("whole"),
     "pie_donut_ungrouped": f"""WITH {OPINIONS}, cells AS (SELECT answer, sub_answer, count(*) AS n FROM opinions GROUP BY ALL)
@@ -315,6 +348,8 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (WHERE abundancia = 'A') AS n_down, count(*) FILTER (WHERE abundancia = 'R') AS n_up
           FROM reports GROUP BY id, sp_cien) WHERE n_down > 0 AND n_up > 0""",
     "sorted_distinct": "SELECT DISTINCT p_brand FROM part ORDER BY p_brand",
+    "sorted_distinct_language": """SELECT word, row_number() OVER (ORDER BY word COLLATE es, word) AS "position"
+        FROM (SELECT DISTINCT split_part(text, ' ', 1) AS word FROM documents)""",
     "reversed_levels": """SELECT p AS o_orderpriority, CAST(row_number() OVER (ORDER BY p DESC) AS INTEGER) AS "position"
         FROM (SELECT DISTINCT o_orderpriority AS p FROM orders) ORDER BY p DESC""",
     "order_by_list": f"""WITH {LIKERT} SELECT zona, item,
@@ -351,6 +386,18 @@ ORACLES: dict[str, str] = {
     "qd_species_limits": f"""SELECT zona, count(*) FILTER (WHERE percent BETWEEN -60 AND 60) AS kept,
         count(*) FILTER (WHERE percent IS NULL OR percent NOT BETWEEN -60 AND 60) AS dropped
         FROM ({_species("")}) GROUP BY zona""",
+    "qd_species_losses": f"""WITH bars AS (SELECT count(*) AS total, count(*) FILTER (WHERE percent < -60) AS below,
+          count(*) FILTER (WHERE percent > 60) AS above, count(*) FILTER (WHERE percent IS NULL) AS missing FROM ({_species("")})),
+        {REPORTS}, r AS (SELECT count(*) AS total,
+          count(*) FILTER (WHERE sp_cien IS NULL OR sp_cien = 'NA' OR abundancia IS NULL OR abundancia = 'NA') AS unnamed,
+          count(*) FILTER (WHERE sp_cien <> 'NA' AND abundancia <> 'NA'
+            AND sp_cien NOT IN (SELECT 'Brand#' || unnest(range(1, 24)))) AS unlisted FROM reports)
+        SELECT 'species' AS analysis, 'no species or direction' AS loss, total, unnamed AS lost FROM r
+        UNION ALL SELECT 'species', 'species not listed', total, unlisted FROM r
+        UNION ALL SELECT 'bars', 'below', total, below FROM bars UNION ALL SELECT 'bars', 'above', total, above FROM bars
+        UNION ALL SELECT 'bars', 'missing', total, missing FROM bars""",
+    "qe_gear_rotation_losses": """SELECT 'rotation' AS analysis, 'month not listed' AS loss, count(*) AS total,
+        count(*) FILTER (WHERE month(o_orderdate) = 12) AS lost FROM orders""",
     "qd_species_shortlist": _species("WHERE s.sp_cien IN ('Brand#3', 'Brand#17', 'Absent#2')"),
     "qe_gear_rotation": _rotation("c.zona"),
     "qe_gear_rotation_parity": _rotation("d.trip_zone"),
@@ -358,3 +405,4 @@ ORACLES: dict[str, str] = {
                            "WHERE answer <> 'NA'"),
 }
 ORACLES["order_by_level"] = ORACLES["likert_items"]
+ORACLES["bbox_clustered"] = ORACLES["bbox_tag_filter"]

@@ -21,6 +21,7 @@ from surveyloom.operators import points as pt
 from surveyloom.operators import reshape as rs
 from surveyloom.operators import rows as rw
 from surveyloom.operators import shares as sh
+from surveyloom.operators.losses import Losses
 from surveyloom.plans import survey as sv
 from surveyloom.session import shared_folder
 from surveyloom.sources import sinks, tables
@@ -93,6 +94,29 @@ def _customer_texts(spark, d) -> DataFrame:
                                                 "c_acctbal")
 
 
+def _order_lines(spark, d) -> DataFrame:
+    """Orders as lines of CSV, some of them spoiled: a text for a number, a field too many, and one too few."""
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")
+    kind = F.col("o_orderkey") % 41
+    priority = F.when(kind == 5, "").when(kind == 6, F.lit('"a, b"')).otherwise(F.col("o_orderpriority"))
+    line = (F.when(kind == 1, F.concat_ws(",", key, F.lit("unknown"), priority))
+            .when(kind == 2, F.concat_ws(",", key, price, priority, F.lit("more")))
+            .when(kind == 3, F.concat_ws(",", key, price))
+            .when(kind == 4, F.concat_ws(",", F.concat(F.lit("k"), key), price, priority))
+            .otherwise(F.concat_ws(",", key, price, priority)))
+    return b.table(spark, d, "orders").select(line.alias("line"))
+
+
+@query
+def src_sound_and_rejected(spark, d):
+    path = _scratch(spark, "lines")
+    _order_lines(spark, d).write.text(path)
+    sound, rejected = tables.load_sound(spark, path, "o_orderkey bigint, o_totalprice double, o_orderpriority string", header=False)
+    none = F.lit(None).cast("string")
+    return sound.select("*", none.alias("reason"), none.alias("line")).unionByName(
+        rejected.select("reason", "line"), allowMissingColumns=True)
+
+
 @query
 def sink_csv(spark, d):
     path = _scratch(spark, "csv")
@@ -115,6 +139,17 @@ def sink_partitioned(spark, d):
     return sinks.read_partitioned(spark, path, "id bigint, port string, zona string")
 
 
+@query
+def sink_replace_partitions(spark, d):
+    """Two zones are written again without their places; the others stay as they were."""
+    path = _scratch(spark, "replaced")
+    zoned = _zoned_customers(spark, d)
+    sinks.replace_partitions(zoned, path, "zona")
+    again = zoned.filter(F.col("zona").isin("North", "otro") & (F.col("id") % 2 == 0)).withColumn("port", F.lit("again"))
+    sinks.replace_partitions(again, path, "zona")
+    return sinks.read_partitioned(spark, path, "id bigint, port string, zona string")
+
+
 @query
 def preview_head(spark, d):
     orders = b.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
@@ -126,11 +161,23 @@ def level_domain_report(spark, d):
     return ct.outside_levels(b.answers(spark, d), b.ITEMS, b.RAW_ANSWERS)
 
 
+def _features(spark, d) -> DataFrame:
+    return b.table(spark, d, "events").select(
+        "event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), "props")
+
+
 @query
 def bbox_tag_filter(spark, d):
-    places = b.table(spark, d, "events").select(
-        "event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), "props")
-    return pt.in_box_with_tag(places, "x", "y", (5.0, 10.0, 250.0, 120.0), "props", "k", "69").drop("props")
+    return pt.in_box_with_tag(_features(spark, d), "x", "y", (5.0, 10.0, 250.0, 120.0), "props", "k", "69").drop("props")
+
+
+@query
+def bbox_clustered(spark, d):
+    """The same features from a layout in which a box meets few row groups."""
+    path = _scratch(spark, "clustered")
+    sinks.write_clustered(_features(spark, d), path, "x", "y")
+    stored = spark.read.schema("event_id bigint, x double, y double, props string").parquet(path)
+    return pt.in_box_with_tag(stored, "x", "y", (5.0, 10.0, 250.0, 120.0), "props", "k", "69").drop("props")
 
 
 # ---- projections and filters -------------------------------------------------------------
@@ -244,7 +291,12 @@ def recode_lookup(spark, d):
 def ordered_levels(spark, d):
     answer, listed = F.col("answer"), ["5-LOW", "4-NOT SPECIFIED", "2-HIGH"]
     return _priorities(spark, d).select("o_orderkey", lv.in_levels(answer, listed).alias("level"),
-                                        lv.ordinal(answer, listed).cast("double").alias("ordinal"))
+                                        *_ordinal(lv.ordinal(answer, listed)))
+
+
+def _ordinal(position):
+    """The ordinal as it is, INT, with 0 where it is NULL, which a column of its own tells."""
+    return F.coalesce(position, F.lit(0)).alias("ordinal"), position.isNull().alias("unlisted")
 
 
 @query
@@ -253,7 +305,7 @@ def ordered_relabel(spark, d):
     mapping = {"A": "Decrease", "R": "Increase"}
     return b.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", lv.relabel(flag, mapping).alias("level"),
-        lv.ordinal(lv.relabel(flag, mapping), list(mapping.values())).cast("double").alias("ordinal"))
+        *_ordinal(lv.ordinal(lv.relabel(flag, mapping), list(mapping.values()))))
 
 
 @query
@@ -319,6 +371,18 @@ def range_censor_report(spark, d):
     return rw.censor_report(_mirrored(spark, d), "value", -60, 60, "event_type")
 
 
+def _after_run(spark, result: DataFrame, losses: Losses, name: str) -> DataFrame:
+    """Write the result, then report what was lost on the way."""
+    result.write.parquet(_scratch(spark, name))
+    return losses.report(spark)
+
+
+@query
+def range_censor_losses(spark, d):
+    losses = Losses()
+    return _after_run(spark, rw.censor(_mirrored(spark, d), "value", -60, 60, losses), losses, "censored")
+
+
 def _coordinates(spark, d) -> DataFrame:
     return b.table(spark, d, "embeddings").select(
         "vec_id", "label", F.col("embedding")[0].cast("double").alias("lon"),
@@ -419,6 +483,13 @@ def complete_cells_long_domain(spark, d):
     return gr.complete_cells(cells, ["id"], "sp_cien", domain)
 
 
+@query
+def complete_observed(spark, d):
+    """Suppliers with every brand and abundance text that occurs anywhere."""
+    reports = b.reports(spark, d).select("id", F.concat_ws(" ", "sp_cien", "abundancia").alias("report"))
+    return gr.complete_observed(ct.count_rows(reports, "id", "report"), ["id"], "report")
+
+
 # ---- counts, reshapes and shares ---------------------------------------------------------
 
 @query
@@ -462,8 +533,9 @@ def respondents_per_zone(spark, d):
 
 @query
 def share_external_denominator(spark, d):
-    zoned = _suppliers(spark, d).attach(b.reports(spark, d))
-    flags = rs.pivot_wide(ct.count_rows(zoned, "zona", "abundancia"), ["zona"], "abundancia", "n", ["A", "R"])
+    counted = ct.count_rows(b.reports(spark, d), "id", "abundancia")
+    zoned = _suppliers(spark, d).attach_counted(counted, "times").withColumn("n", F.col("n") * F.col("times"))
+    flags = rs.pivot_wide(zoned, ["zona"], "abundancia", "n", ["A", "R"])
     return sh.share_of(flags, ["A", "R"], b.denominators(spark, d), "zona", "respondents")
 
 
@@ -519,6 +591,13 @@ def ordinal_density(spark, d):
     return density.withColumn("density", F.round("density", 9))
 
 
+@query
+def ordinal_density_auto(spark, d):
+    """The bandwidth of each item and zone comes from its answers."""
+    density = lk.ordinal_density(_zone_item_counts(spark, d), len(b.LEVELS), DENSITY_GRID)
+    return density.withColumns({"density": F.round("density", 9), "bandwidth": F.round("bandwidth", 9)})
+
+
 @query
 def pie_donut_by_group(spark, d):
     return sh.pie_donut(_zoned_opinions(spark, d), ["zona"], "answer", "sub_answer")
@@ -590,6 +669,13 @@ def sorted_distinct(spark, d):
     return od.sorted_values(b.table(spark, d, "part"), "p_brand")
 
 
+@query
+def sorted_distinct_language(spark, d):
+    """The first words of the documents, in the order of a Spanish dictionary."""
+    first = b.table(spark, d, "documents").select(F.split("text", " ")[0].alias("word"))
+    return sinks.with_row_index(od.sorted_values(first, "word", "es"), od.in_language("word", "es"), "position")
+
+
 @query
 def reversed_levels(spark, d):
     distinct = ct.distinct_values(b.table(spark, d, "orders"), "o_orderpriority")
@@ -665,6 +751,22 @@ def qd_species_limits(spark, d):
     return rw.censor_report(qd_species_change(spark, d), "percent", *b.SPECIES_LIMITS, "zona")
 
 
+@query
+def qd_species_losses(spark, d):
+    losses = Losses()
+    bars = sv.species_change(b.reports(spark, d), _suppliers(spark, d), b.denominators(spark, d), "sp_cien",
+                             "abundancia", b.ABUNDANCE, b.SPECIES, "respondents", losses=losses)
+    return _after_run(spark, rw.censor(bars, "percent", *b.SPECIES_LIMITS, losses, "bars"), losses, "species")
+
+
+@query
+def qe_gear_rotation_losses(spark, d):
+    losses = Losses()
+    months = {raw: name for raw, name in b.MONTHS.items() if name != "Diciembre"}
+    result = sv.gear_rotation(b.trips(spark, d), _customers(spark, d), "mes", b.GEARS, months, losses=losses)
+    return _after_run(spark, result, losses, "rotation")
+
+
 def _rotation(spark, d, keep: bool) -> DataFrame:
     return sv.gear_rotation(b.trips(spark, d), _customers(spark, d), "mes", b.GEARS, b.MONTHS,
                             gear_labels=b.GEAR_LABELS, added_rows_keep_zone=keep)

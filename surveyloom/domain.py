@@ -92,6 +92,9 @@ SHORTLIST = [
 ]
 SPECIES_LIMITS = (-60, 60)
 
+# Smallest and largest mark of a port on the map.
+MARK_SIZES = (3.0, 10.0)
+
 # Months, and gear columns with their labels.
 MONTHS = {
     "enero": "Enero", "febrero": "Febrero", "marzo": "Marzo", "abril": "Abril", "mayo": "Mayo",

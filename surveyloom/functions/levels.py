@@ -18,6 +18,24 @@ from pyspark.sql import functions as F
 Groups = Mapping[str, Sequence[str]]
 
 
+def sql_name(name: str) -> str:
+    """A column's whole name in an SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_literal(value: str | int | None) -> str:
+    """A text, whole number or NULL text in an SQL expression.
+
+    Wide blocks and long lists are put as one expression each: built from single columns,
+    they cost the driver more time than Spark then needs for small tables.
+    """
+    if value is None:
+        return "cast(null as string)"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _look_up_in(mapping: Mapping[str, object]) -> Callable[[Column], Column]:
     """The mapped value of a column; NULL for NULL and for anything that is not listed.
 
@@ -25,7 +43,7 @@ def _look_up_in(mapping: Mapping[str, object]) -> Callable[[Column], Column]:
     """
     if not mapping:
         return lambda column: F.lit(None).cast("string")
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    table = F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in mapping.items()) + ")")
     return lambda column: table[column]
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.functions.levels import in_levels, ordinal
+from surveyloom.functions.levels import ordinal, sql_literal, sql_name
 from surveyloom.operators.columns import named
 from surveyloom.operators.joins import left_join
 
@@ -56,25 +56,65 @@ def absent_values(df: DataFrame, keys: Sequence[str], column: str, domain: Seque
     return one_each.filter(named(column).isNotNull())
 
 
+def _level_array(levels: Sequence[str]) -> str:
+    """The level list as an array in SQL: one literal, whatever its length."""
+    if not levels:
+        return "cast(array() as array<string>)"
+    separator = "\x1f"
+    while any(separator in level for level in levels):
+        separator += "\x1f"
+    return f"split({sql_literal(separator.join(levels))}, '{separator}')"
+
+
 def complete_cells(cells: DataFrame, by: Sequence[str], level: str, levels: Sequence[str],
                    value: str = "n", fill=0) -> DataFrame:
     """Every observed group with every level: ``by..., level, value``, missing cells filled.
 
     Levels form a closed domain: a cell with an unlisted level counts under NULL, and a
-    NULL cell stays if the group has one. The cells are summed side by side and turned
-    back into rows, which reads them once, whatever the length of the level list.
+    NULL cell stays if the group has one. The cells are read once and summed by level; a
+    group then holds a sparse map from its levels to their sums, to which the levels it
+    lacks are added by a hash of both lists. The work is one step for each cell of the
+    result, so lists of thousands of levels are as cheap per cell as short ones.
+    """
+    keys, name = [named(b) for b in by], sql_name(level)
+    listed = F.expr(f"case when {name} in ({', '.join(map(sql_literal, levels))}) then {name} end" if levels else "cast(null as string)")
+    sums = cells.withColumn("__level", listed).groupBy(*keys, "__level").agg(F.sum(named(value)).alias("__sum"))
+    filler = f"cast({sql_literal(fill) if isinstance(fill, (str, int)) else repr(fill)} as {sums.schema['__sum'].dataType.simpleString()})"
+    found = F.expr(f"collect_list(struct(__level, coalesce(__sum, {filler}) as __sum)) as __found")
+    rows = F.expr(f"""inline(concat(__found, transform(array_except({_level_array(levels)}, transform(__found, e -> e.__level)),
+        lacking -> struct(lacking as __level, {filler} as __sum))))""")
+    filled = sums.groupBy(*keys).agg(found).select(*keys, rows)
+    return filled.select(*keys, F.col("__level").alias(level), F.col("__sum").alias(value))
+
+
+def complete_observed(cells: DataFrame, by: Sequence[str], level: str, value: str = "n", fill=0,
+                      spread: int = 16) -> DataFrame:
+    """Every observed group with every level that any group has; NULL is a group and a level like others.
+
+    No list is given: groups and levels are both taken from the cells, and neither needs
+    to fit into a task. Groups are dealt to ``spread`` rows of a square by their hash and
+    stand in each of its columns, levels to as many columns and stand in each row; an
+    equi-join on row and column makes the grid square by square. Grid and cells are then
+    summed together. Repeated cells count as their sum.
     """
     keys = [named(b) for b in by]
-    coerced = cells.select(*keys, in_levels(named(level), levels).alias(level), named(value).alias(value))
-    sums = [F.sum(F.when(named(level) == v, named(value))).alias(f"__{i}") for i, v in enumerate(levels)]
-    other = [F.sum(F.when(named(level).isNull(), named(value))).alias("__null"),
-             F.count_if(named(level).isNull()).alias("__nulls")]
-    rows = [F.struct(F.lit(v).alias(level), F.coalesce(F.col(f"__{i}"), F.lit(fill)).alias(value), F.lit(True).alias("__cell"))
-            for i, v in enumerate(levels)]
-    rows.append(F.struct(F.lit(None).cast("string").alias(level), F.coalesce("__null", F.lit(fill)).alias(value),
-                         (F.col("__nulls") > 0).alias("__cell")))
-    wide = coerced.groupBy(*keys).agg(*sums, *other)
-    return wide.select(*keys, F.inline(F.array(*rows))).filter("__cell").drop("__cell")
+    sums = cells.groupBy(*keys, named(level)).agg(F.sum(named(value)).alias(value))
+    kind = sums.schema[value].dataType
+    every = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+
+    def part(*columns: Column) -> Column:
+        # Never NULL, and Spark sees it: a test for NULL in one branch would keep it from sharing the shuffle.
+        return F.coalesce(F.pmod(F.xxhash64(*columns), F.lit(spread)).cast("int"), F.lit(0)) if columns else F.lit(0)
+
+    def occurring(*columns: Column) -> DataFrame:
+        # The count keeps the values in the plan, so that all three branches read one shuffle of the sums.
+        return sums.groupBy(*columns).agg(F.count(named(value)).alias("__n")).filter("__n >= 0").drop("__n")
+
+    groups = occurring(*keys).withColumns({"__row": part(*keys), "__column": every})
+    observed = occurring(named(level)).withColumns({"__row": every, "__column": part(named(level))})
+    grid = groups.join(observed, ["__row", "__column"]).select(*keys, named(level), F.lit(None).cast(kind).alias(value))
+    both = grid.unionByName(sums).groupBy(*keys, named(level)).agg(F.sum(named(value)).alias(value))
+    return both.withColumn(value, F.coalesce(named(value), F.lit(fill).cast(kind)))
 
 
 def densify(facts: DataFrame, keys: Sequence[str], column: str, domain: Sequence[str],

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators.columns import named
+from surveyloom.operators.losses import Losses, watched
 
 
 def drop_na_text(df: DataFrame, *columns: str, marker: str = "NA") -> DataFrame:
@@ -35,9 +36,12 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return df.filter(test)
 
 
-def censor(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    """Rows inside the closed range; NULL lies outside of it."""
-    return df.filter(named(column).between(low, high))
+def censor(df: DataFrame, column: str, low: float, high: float, losses: Losses | None = None,
+           analysis: str = "censor") -> DataFrame:
+    """Rows inside the closed range; NULL lies outside of it. ``losses`` counts those below, above and without a value."""
+    value = named(column)
+    seen = watched(losses, df, analysis, {"below": value < low, "above": value > high, "missing": value.isNull()})
+    return seen.filter(value.between(low, high))
 
 
 def censor_report(df: DataFrame, column: str, low: float, high: float, *by: str) -> DataFrame:

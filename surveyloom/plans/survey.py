@@ -21,7 +21,8 @@ from surveyloom.operators.columns import flag_empty_rows, named, row_sum
 from surveyloom.operators.counts import count_rows, sum_or_zero
 from surveyloom.operators.grids import explode_domain
 from surveyloom.operators.joins import left_join
-from surveyloom.operators.likert import code_answers, code_counts, level_shares
+from surveyloom.operators.likert import add_codes, code_answers, count_codes, counts_of_items, level_shares
+from surveyloom.operators.losses import Losses, watched
 from surveyloom.operators.rows import drop_na_text, keep_in
 from surveyloom.operators.shares import pie_donut
 
@@ -48,13 +49,25 @@ class Places:
         joined = left_join(answers, self.zone_of(), self.key, self.null_safe)
         return joined.withColumn(self.zone, F.coalesce(named(self.zone), F.lit(self.default)))
 
+    def attach_counted(self, counted: DataFrame, weight: str) -> DataFrame:
+        """Add zone and weight to rows that hold the counts of one respondent each.
+
+        The weight is the number of profile rows the respondent has in the zone, as a row
+        of answers would be joined to each of them; without a profile it is 1.
+        """
+        key, zone = named(self.key), named(self.zone)
+        times = self.zone_of().groupBy(key, zone).agg(F.count(F.lit(1)).alias(weight))
+        joined = left_join(counted, times, self.key, self.null_safe)
+        return joined.withColumns({self.zone: F.coalesce(zone, F.lit(self.default)),
+                                   weight: F.coalesce(named(weight), F.lit(1))})
+
 
 def coverage_bands(sites: DataFrame, x: str, y: str, part: str, whole: str,
-                   low: float = 20.0, high: float = 30.0) -> DataFrame:
-    """Percent covered at each site, with its band."""
+                   low: float = 20.0, high: float = 30.0, keep: Sequence[str] = ()) -> DataFrame:
+    """Percent covered at each site, with its band, and the columns of ``keep``."""
     percent = ratio(named(part), named(whole))
     return (sites.select(named(x).alias("x"), named(y).alias("y"), named(part).alias("n"),
-                         named(whole).alias("total"), percent.alias("percent"))
+                         named(whole).alias("total"), percent.alias("percent"), *[named(k) for k in keep])
             .withColumn("band", band(F.col("percent"), low, high)))
 
 
@@ -62,7 +75,19 @@ def likert_by_zone(answers: DataFrame, places: Places, items: Sequence[str], map
                    levels: Sequence[str], labels: Mapping[str, str] | None = None) -> DataFrame:
     """Level counts by zone and item; a missing answer is left out of its own item only."""
     coded = code_answers(answers.select(named(places.key), *[named(i) for i in items]), items, levels, mapping)
-    return code_counts(places.attach(coded), items, len(levels), [places.zone], labels)
+    return _counts_by_zone(coded, places, items, len(levels), labels)
+
+
+def _counts_by_zone(coded: DataFrame, places: Places, items: Sequence[str], k: int,
+                    labels: Mapping[str, str] | None) -> DataFrame:
+    """Level counts by zone and item; answers are counted per respondent before the profile is joined.
+
+    What is shuffled for the join is one row of counters per respondent and task, so a
+    respondent with a third of all answers is a few rows; the join itself meets one row each.
+    """
+    counted = count_codes(coded, items, k, [places.key])
+    summed = add_codes(places.attach_counted(counted, "__times"), items, k, [places.zone], "__times")
+    return counts_of_items(summed, items, k, [places.zone], labels)
 
 
 def heatmap_cells(answers: DataFrame, places: Places, items: Sequence[str], mapping: Mapping[str, str],
@@ -73,23 +98,28 @@ def heatmap_cells(answers: DataFrame, places: Places, items: Sequence[str], mapp
     for item in items:  # on the raw answers, so that the test reaches the scan
         complete = complete.filter(named(item).isin(listed))
     coded = code_answers(complete, items, levels, mapping)
-    counts = code_counts(places.attach(coded), items, len(levels), [places.zone], labels)
-    return level_shares(counts, levels, n="count")
+    return level_shares(_counts_by_zone(coded, places, items, len(levels), labels), levels, n="count")
 
 
 def species_change(reports: DataFrame, places: Places, denominators: DataFrame, species: str, direction: str,
                    mapping: Mapping[str, str], listed: Sequence[str], total: str,
                    down: str = "Decrease", up: str = "Increase",
-                   shortlist: Sequence[str] | None = None) -> DataFrame:
+                   shortlist: Sequence[str] | None = None, losses: Losses | None = None) -> DataFrame:
     """Signed percent of respondents who saw each listed species fall or rise.
 
     ``denominators`` holds the respondents per zone and decides which zones appear.
     Every listed species has a row, also if nobody named it; others are left out.
+    ``losses`` counts the reports without a species or direction, and those of species that
+    are not listed, while the result is made.
     """
     zone = places.zone
     wanted = list(listed) if shortlist is None else [s for s in listed if s in set(shortlist)]
     changed = [raw for raw, new in mapping.items() if new in (down, up)]
-    reported = keep_in(keep_in(drop_na_text(reports, species, direction), species, wanted), direction, changed)
+    named_both = (named(species) != "NA") & (named(direction) != "NA")
+    seen = watched(losses, reports, "species", {
+        "no species or direction": ~F.coalesce(named_both, F.lit(False)),
+        "species not listed": named_both & ~named(species).isin(list(listed))})
+    reported = keep_in(keep_in(drop_na_text(seen, species, direction), species, wanted), direction, changed)
     way = relabel(named(direction), mapping)
     per_respondent = reported.groupBy(named(places.key), named(species)).agg(
         F.count_if(way == down).alias("__down"), F.count_if(way == up).alias("__up"))
@@ -137,7 +167,7 @@ def _zones_of_keys(places: Places) -> DataFrame:
 
 def gear_rotation(trips: DataFrame, places: Places, month: str, gears: Sequence[str], months: Mapping[str, str],
                   gear_labels: Mapping[str, str] | None = None, no_fishing: str = "No Fishing",
-                  added_rows_keep_zone: bool = True) -> DataFrame:
+                  added_rows_keep_zone: bool = True, losses: Losses | None = None) -> DataFrame:
     """Share of each gear by zone and month, with a "no fishing" share.
 
     Each respondent gets a row for every month; a month without any gear counts as
@@ -147,9 +177,11 @@ def gear_rotation(trips: DataFrame, places: Places, month: str, gears: Sequence[
     often again.
 
     The trips are read once and summed per respondent and month before anything is
-    joined. Several profile rows are a weight of the sums, not more rows.
+    joined. Several profile rows are a weight of the sums, not more rows. ``losses``
+    counts the trips of months that are not listed, on the same read.
     """
     key, zone = places.key, places.zone
+    trips = watched(losses, trips, "rotation", {"month not listed": relabel(named(month), months).isNull()})
     labelled = trips.withColumn(month, relabel(named(month), months))
     per_key = _months_of_keys(labelled, key, month, gears, list(months.values()))
     joined = left_join(per_key, _zones_of_keys(places), key, places.null_safe)

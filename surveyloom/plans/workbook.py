@@ -19,6 +19,9 @@ from surveyloom.operators import likert
 from surveyloom.operators.columns import apply_columns, name_range, named, names_at, select_range
 from surveyloom.operators.counts import count_rows
 from surveyloom.operators.joins import literal_table
+from surveyloom.operators.losses import Losses
+from surveyloom.operators.points import bounding_box, rescale_area
+from surveyloom.operators.rows import censor
 from surveyloom.plans import survey
 
 Tables = Mapping[str, DataFrame]
@@ -34,8 +37,17 @@ def _labelled(df: DataFrame, item_range: tuple[str, str], labels: Sequence[str])
 
 
 def coverage(tables: Tables, inventory: str = "emb_inv_2022") -> DataFrame:
-    """Percent of the fleet interviewed at each port; ``trip_inv_2022`` gives the crew."""
-    return survey.coverage_bands(tables["00_entrevistas"], "x", "y", "n_emb", inventory)
+    """Percent of the fleet interviewed at each port; ``trip_inv_2022`` gives the crew.
+
+    ``size`` is the size of the port's mark, whose area grows with all its interviews.
+    """
+    bands = survey.coverage_bands(tables["00_entrevistas"], "x", "y", "n_emb", inventory, keep=["entrevistas_tot"])
+    return rescale_area(bands, "entrevistas_tot", "size", *d.MARK_SIZES)
+
+
+def coverage_box(tables: Tables) -> DataFrame:
+    """The box around all ports."""
+    return bounding_box(tables["00_entrevistas"], "x", "y")
 
 
 def interviews_per_zone(tables: Tables) -> DataFrame:
@@ -70,8 +82,13 @@ def change_counts(tables: Tables, by_zone: bool = True) -> DataFrame:
     return survey.likert_by_zone(answers, _places(tables), list(labels), d.CHANGE_ANSWERS, d.CHANGE_LEVELS, labels)
 
 
-def likert_tables(counts: DataFrame, levels: Sequence[str], bandwidth: float = 0.5) -> dict[str, DataFrame]:
-    """All summaries behind the Likert charts of one block."""
+def in_item_order(df: DataFrame, items: Sequence[str]) -> DataFrame:
+    """Adds position, the place of the item in its charts from 1."""
+    return df.withColumn("position", ordinal(F.col("item"), items))
+
+
+def likert_tables(counts: DataFrame, levels: Sequence[str], bandwidth: float | None = None) -> dict[str, DataFrame]:
+    """All summaries behind the Likert charts of one block; without a bandwidth the answers give their own."""
     k = len(levels)
     grid = [1 + i * (k - 1) / 100 for i in range(101)]
     return {
@@ -91,12 +108,17 @@ def heatmaps(tables: Tables) -> DataFrame:
     return cells.withColumn("label", percent_label(F.col("percent")))
 
 
-def species(tables: Tables, shortlist: bool = False) -> DataFrame:
+def species(tables: Tables, shortlist: bool = False, losses: Losses | None = None) -> DataFrame:
     """Signed percent of each listed species and zone."""
     reports = tables["C_especies"]
     respondents = literal_table(reports.sparkSession, "zona string, respondents long", d.RESPONDENTS)
     return survey.species_change(reports, _places(tables), respondents, "sp_cien", "abundancia", d.ABUNDANCE,
-                                 d.SPECIES, "respondents", shortlist=d.SHORTLIST if shortlist else None)
+                                 d.SPECIES, "respondents", shortlist=d.SHORTLIST if shortlist else None, losses=losses)
+
+
+def species_bars(tables: Tables, losses: Losses | None = None) -> DataFrame:
+    """The bars of ``species`` that lie inside the limits of the chart."""
+    return censor(species(tables, losses=losses), "percent", *d.SPECIES_LIMITS, losses, "species bars")
 
 
 def contradictions(tables: Tables) -> DataFrame:
@@ -109,7 +131,7 @@ def unlisted_species(tables: Tables) -> DataFrame:
     return survey.species_outside(tables["C_especies"], "sp_cien", list(d.SPECIES))
 
 
-def rotation(tables: Tables, added_rows_keep_zone: bool = True) -> DataFrame:
+def rotation(tables: Tables, added_rows_keep_zone: bool = True, losses: Losses | None = None) -> DataFrame:
     """Share of each gear by zone and month, with the gear's place in the legend.
 
     The sheet holds the hand line twice; where the repeated header got its position
@@ -118,7 +140,7 @@ def rotation(tables: Tables, added_rows_keep_zone: bool = True) -> DataFrame:
     trips = tables["B_rotacion"].withColumnRenamed("linea_mano_11", "linea_mano")
     trips = trips.select("ID", "mes", *[named(g) for g in d.GEARS])
     shares = survey.gear_rotation(trips, _places(tables), "mes", list(d.GEARS), d.MONTHS, gear_labels=d.GEARS,
-                                  no_fishing=d.NO_FISHING, added_rows_keep_zone=added_rows_keep_zone)
+                                  no_fishing=d.NO_FISHING, added_rows_keep_zone=added_rows_keep_zone, losses=losses)
     return shares.withColumn("ordinal", ordinal(F.col("fishing_method"), d.GEAR_LEVELS))
 
 
@@ -137,19 +159,25 @@ def donuts(tables: Tables) -> DataFrame:
                                     of_whole=d.DONUTS_OF_WHOLE)
 
 
-def results(tables: Tables) -> dict[str, DataFrame]:
-    """One table per analysis."""
+def results(tables: Tables, losses: Losses | None = None) -> dict[str, DataFrame]:
+    """One table per analysis.
+
+    With ``losses``, what the species bars and the rotation leave out is known as soon as these
+    two have been written: ``losses.report`` gives it as a table.
+    """
     return {
         "coverage_fleet": coverage(tables),
         "coverage_crew": coverage(tables, "trip_inv_2022"),
+        "coverage_box": coverage_box(tables),
         "interviews_per_zone": interviews_per_zone(tables),
-        "conflicts": likert.level_shares(conflict_counts(tables), d.CONFLICT_LEVELS),
-        "changes": likert.level_shares(change_counts(tables), d.CHANGE_LEVELS),
-        "heatmaps": heatmaps(tables),
+        "conflicts": in_item_order(likert.level_shares(conflict_counts(tables), d.CONFLICT_LEVELS), d.CONFLICT_LABELS),
+        "changes": in_item_order(likert.level_shares(change_counts(tables), d.CHANGE_LEVELS), d.CHANGE_ORDER),
+        "heatmaps": in_item_order(heatmaps(tables), d.CHANGE_ORDER),
         "species": species(tables),
+        "species_bars": species_bars(tables, losses),
         "species_shortlist": species(tables, shortlist=True),
         "contradictory_species": contradictions(tables),
         "species_outside_list": unlisted_species(tables),
-        "rotation": rotation(tables),
+        "rotation": rotation(tables, losses=losses),
         "donuts": donuts(tables),
     }

@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from surveyloom.operators import ordering as od
 from surveyloom.operators import points as pt
 from surveyloom.operators import reshape as rs
 from surveyloom.operators import shares as sh
+from surveyloom.plans import survey as sv
 
 LEVELS = ["Low", "Mid", "High"]
 
@@ -284,3 +287,142 @@ def test_names_with_dots(spark, rows):
     assert points.in_box_with_tag(df, "x.x", "y", (0, 0, 3, 3), "t", "addr.city", "P").count() == 1
     donut = spark.createDataFrame([("a", "b")], "n string, m string")
     assert rows(sh.pie_donut(donut, [], "n", "m", name="rows")) == [("a", "b", 1, 100.0, 100.0)]
+
+
+def completed(cells, levels):
+    """Cells of plain rows (group, level, n), by loops."""
+    sums, groups = {}, []
+    for group, level, n in cells:
+        level = level if level in levels else None
+        sums[group, level] = sums.get((group, level), 0) + (n or 0)
+        groups.append(group)
+    full = {(g, lv): sums.get((g, lv), 0) for g in groups for lv in levels}
+    return full | {k: v for k, v in sums.items() if k[1] is None}
+
+
+def test_completion_of_thousands_of_levels(spark):
+    levels = [f"level\x1f{i}" if i == 7 else f"level {i}" for i in range(5000)]
+    cells = [("a", "level 3", 2), ("a", "level 3", 5), ("a", "level 4999", 1), ("b", "no level", 4), ("b", None, 3),
+             (None, "level\x1f7", 9), ("c", "level 0", None)]
+    df = spark.createDataFrame(cells, "g string, level string, n long")
+    got = gr.complete_cells(df, ["g"], "level", levels)
+    assert got.columns == ["g", "level", "n"]
+    assert {(r.g, r.level): r.n for r in got.collect()} == completed(cells, levels)
+
+
+def test_completion_of_nothing(spark, rows):
+    cells = spark.createDataFrame([("a", "x", 1)], "g string, level string, n long")
+    assert rows(gr.complete_cells(cells.limit(0), ["g"], "level", ["x", "y"])) == []
+    assert rows(gr.complete_cells(cells, ["g"], "level", [])) == [("a", None, 1)]
+    assert rows(gr.complete_observed(cells.limit(0), ["g"], "level")) == []
+
+
+@pytest.mark.parametrize("by", [["g"], ["g", "h"], []])
+def test_observed_levels(spark, by):
+    r = random.Random(4)
+    cells = [(r.choice([None, *range(40)]), r.choice("xyz"), r.choice([None, *map(str, range(30))]), r.randint(0, 9)) for _ in range(200)]
+    df = spark.createDataFrame(cells, "g int, h string, level string, n long")
+    at = {"g": 0, "h": 1}
+    keys = {tuple(c[at[b]] for b in by) for c in cells}
+    expected = {(*k, lv): 0 for k in keys for lv in {c[2] for c in cells}}
+    for c in cells:
+        expected[(*(c[at[b]] for b in by), c[2])] += c[3]
+    got = gr.complete_observed(df, by, "level", spread=3)
+    assert got.columns == [*by, "level", "n"]
+    assert {tuple(x)[:-1]: x.n for x in got.collect()} == expected and got.count() == len(expected)
+
+
+def test_observed_levels_where_nothing_can_be_broadcast(spark):
+    """Groups and levels both exceed the limit for a broadcast; no task joins by a product."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for key in before:
+            spark.conf.set(key, "100")
+        cells = spark.range(3000).selectExpr("id % 1500 as g", "cast(id % 700 as string) as level", "id as n")
+        done = gr.complete_observed(cells, ["g"], "level")
+        assert done.count() == 1500 * 700
+        assert done.agg(F.sum("n")).first()[0] == sum(range(3000))
+        done.collect()
+        text = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
+        assert not any(node in text for node in ("Cartesian", "NestedLoop", "BroadcastHashJoin"))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_language_order(spark):
+    names = ["zorro", "Éufrates", "eco", "ñu", "nube", "oso", "Ola", "álamo", "alba", "Álamo", None, "", "nácar", "eco", "nutria"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(4)
+    assert [r.name for r in od.sorted_values(df, "name", "es").collect()] == [
+        None, "", "álamo", "Álamo", "alba", "eco", "Éufrates", "nácar", "nube", "nutria", "ñu", "Ola", "oso", "zorro"]
+    assert [r.name for r in od.sorted_values(df, "name").collect()][:3] == [None, "", "Ola"]
+    # The same letter is a letter of its own in one language and an accent in the other.
+    swedish = spark.createDataFrame([("zebra",), ("ål",), ("ask",)], "name string")
+    assert [r.name for r in od.sorted_values(swedish, "name", "sv").collect()] == ["ask", "zebra", "ål"]
+    assert [r.name for r in od.sorted_values(swedish, "name", "es").collect()] == ["ål", "ask", "zebra"]
+
+
+# ---- densities ---------------------------------------------------------------------------
+
+def reference_bandwidth(answers):
+    """The normal-reference rule on the answers themselves."""
+    x = np.array(answers, float)
+    if len(x) < 2:
+        return None
+    sd, spread = x.std(ddof=1), np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.34
+    low = min(sd, spread) or sd or abs(x[0]) or 1
+    return 0.9 * low * len(x) ** -0.2
+
+
+def test_bandwidth_and_density_of_expanded_answers(spark):
+    r = random.Random(8)
+    groups = {"wide": [r.randint(1, 5) for _ in range(1001)], "narrow": [3] * 40 + [4], "one answer": [2], "equal": [4] * 9,
+              "two": [1, 5], "even": [r.choice([1, 2, 2, 4]) for _ in range(50)], "none": []}
+    rows = [(g, "abcde"[a - 1]) for g, own in groups.items() for a in own] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, q string")
+    counts = lk.level_counts(df, ["q"], list("abcde"), ["g"])
+    measured = lk.normal_reference_bandwidth(counts, 5).select(
+        "g", "bandwidth", *[lk.quantile(5, p).alias(f"q{i}") for i, p in enumerate((0, 0.25, 0.5, 0.9, 1))])
+    for x in measured.collect():
+        own, wide = groups[x.g], reference_bandwidth(groups[x.g])
+        assert (x.bandwidth is None) is (wide is None) and (wide is None or abs(x.bandwidth - wide) < 1e-12)
+        for i, p in enumerate((0, 0.25, 0.5, 0.9, 1)):
+            assert (x[f"q{i}"] is None) if not own else abs(x[f"q{i}"] - np.quantile(own, p)) < 1e-12
+    for x in lk.ordinal_density(counts, 5, [0.5, 2.0, 3.3]).collect():
+        own, h = groups[x.g], reference_bandwidth(groups[x.g])
+        if h is None:
+            assert x.density is None
+        else:
+            kernels = [math.exp(-0.5 * ((x.x - a) / h) ** 2) / (h * math.sqrt(2 * math.pi)) for a in own]
+            assert abs(x.density - sum(kernels) / len(own)) < 1e-9
+
+
+# ---- counting before the join ------------------------------------------------------------
+
+def test_counts_before_the_join_weigh_double_profiles(spark):
+    """Respondents with several profile rows, in one zone or several, without a profile, and without a key."""
+    r = random.Random(2)
+    profile = [(i, r.choice("abcd")) for i in range(30) for _ in range(r.choice([1, 1, 2, 3]))] + [(None, "a"), (None, "c")]
+    answers = [(r.choice([None, 99, *range(35)]), r.choice(["no", "so", "yes", None, "NA"]), r.choice(["no", "yes", "so", "?"]))
+               for _ in range(900)]
+    places = spark.createDataFrame(profile, "id int, port string")
+    asked = spark.createDataFrame(answers, "id int, p string, q string")
+    zones = {"A": ["a"], "B": ["b", "c"]}
+    for null_safe in (False, True):
+        at = sv.Places(places, "id", "port", zones, "otro", "zona", null_safe)
+        per_zone, whole = {}, {}
+        for key, *given in answers:
+            ports = [port for i, port in profile if i == key and (key is not None or null_safe)] or [None]
+            for port in ports:
+                zone = next((z for z, own in zones.items() if port in own), "otro")
+                complete = all(g in ("no", "so", "yes") for g in given)
+                for item, g in zip("pq", given):
+                    for table, counts in ((per_zone, True), (whole, complete)):
+                        if counts and g in ("no", "so", "yes"):
+                            table[zone, item, g] = table.get((zone, item, g), 0) + 1
+        levels = ["no", "so", "yes"]
+        got = lk.level_shares(sv.likert_by_zone(asked, at, ["p", "q"], {}, levels), levels)
+        assert {(x.zona, x.item, x.level): x.n for x in got.collect() if x.n} == per_zone
+        cells = sv.heatmap_cells(asked, at, ["p", "q"], {}, levels)
+        assert {(x.zona, x.item, x.level): x["count"] for x in cells.collect() if x["count"]} == whole

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from catalog import bindings as b
+from catalog.queries import QUERIES
 from surveyloom.functions import levels as lv
 from surveyloom.operators import grids as gr
 from surveyloom.operators import joins as jo
 from surveyloom.operators import likert as lk
 from surveyloom.operators import shares as sh
 from surveyloom.operators.counts import count_rows
+from surveyloom.operators.losses import Losses
 from surveyloom.plans import survey as sv
 
 SF_DIR = "/root/testdata/sf0.001"
-SINKS = {"sink_csv", "sink_csv_indexed", "sink_partitioned"}
+#: These run a write before their plan can be seen.
+SINKS = {"sink_csv", "sink_csv_indexed", "sink_partitioned", "sink_replace_partitions", "src_sound_and_rejected",
+         "range_censor_losses", "qd_species_losses", "qe_gear_rotation_losses", "bbox_clustered"}
 
 
 def plan(df, run=False):
@@ -31,10 +35,10 @@ def shuffles(text):
     return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (hash|range|Single|Round)", re.sub(r"ReusedExchange.*", "", text)))
 
 
-@pytest.mark.parametrize("key", sorted(set(queries()) - SINKS))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - SINKS))
 def test_no_python_and_no_product(spark, key):
-    text = plan(queries()[key](spark, SF_DIR))
-    for node in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):
+    text = plan(QUERIES[key](spark, SF_DIR))
+    for node in ("Python", "Pandas", "InArrow", "CartesianProduct", "NestedLoopJoin"):
         assert node not in text, f"{node} in the plan of {key}"
 
 
@@ -102,6 +106,48 @@ def test_rotation_sums_before_it_joins(spark, key):
     assert below.index("Aggregate") < below.index("FileScan parquet [o_")
 
 
+@pytest.mark.parametrize("key", ["qb_likert_by_zone", "qc_heatmap_cells"])
+def test_answers_are_counted_before_they_are_joined(spark, key):
+    """One read of the answers, and a row of counters per respondent and task is what a shuffle to the join moves."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries()[key](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"FileScan parquet \[l_", text)) == 1
+    join = text.index("SortMergeJoin [id")
+    scan = text.index("FileScan parquet [l_")
+    between = text[join:scan]
+    assert between.count("HashAggregate") >= 2  # counted per task, shuffled, counted per respondent
+    assert between.index("Exchange") < between.rindex("HashAggregate")
+
+
+def test_long_completion_reads_once(spark):
+    cells = count_rows(b.table(spark, SF_DIR, "lineitem"), "l_suppkey", "l_partkey")
+    levels = [str(i) for i in range(3000)]
+    done = gr.complete_cells(cells.withColumn("part", F.col("l_partkey").cast("string")), ["l_suppkey"], "part", levels)
+    text = plan(done)
+    assert text.count("FileScan") == 1 and "Join" not in text
+    assert "INSET" in text.upper() or "INSET" in done._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_observed_completion_reads_once(spark):
+    lines = b.table(spark, SF_DIR, "lineitem")
+    done = gr.complete_observed(count_rows(lines, "l_suppkey", "l_returnflag"), ["l_suppkey"], "l_returnflag")
+    text = plan(done, run=True)
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
+def test_losses_need_no_second_read(spark):
+    losses = Losses()
+    result = sv.gear_rotation(b.trips(spark, SF_DIR), sv.Places(b.customer_profile(spark, SF_DIR), "id", "port", b.ZONES, b.OTHER, "zona"),
+                              "mes", b.GEARS, b.MONTHS, losses=losses)
+    text = plan(result, run=True)
+    assert len(re.findall(r"FileScan parquet \[o_", text)) == 1 and "CollectMetrics" in text
+    assert losses.rows() == [("rotation", "month not listed", b.table(spark, SF_DIR, "orders").count(), 0)]
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(queries()["qb_likert_by_zone"](spark, SF_DIR))
     read = [r for r in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "l_suppkey" in r][0]

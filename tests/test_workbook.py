@@ -7,6 +7,7 @@ import pytest
 
 from surveyloom import domain as d
 from surveyloom.operators import likert as lk
+from surveyloom.operators.losses import Losses
 from surveyloom.operators.rows import censor
 from surveyloom.plans import workbook as wb
 
@@ -79,6 +80,9 @@ def check(df, keys, values, expected):
 def test_coverage(tables, rows):
     got = {r.x: (r.percent, r.band) for r in wb.coverage(tables).collect()}
     assert got == {1.0: (20.0, "yellow"), 2.0: (30.0, "yellow"), 3.0: (31.0, "green"), 4.0: (None, None)}
+    sized = {r.x: (r.entrevistas_tot, r.size) for r in wb.coverage(tables).collect()}
+    assert sized[4.0] == (1.0, 3.0) and sized[3.0] == (5.0, 10.0) and abs(sized[1.0][1] - (3 + 7 * 0.5 ** 0.5)) < 1e-12
+    assert rows(wb.coverage_box(tables)) == [(1.0, 38.9, 4.0, 40.0)]
     crew = {r.x: (r.percent, r.band) for r in wb.coverage(tables, "trip_inv_2022").collect()}
     assert crew == {1.0: (None, None), 2.0: (15.0, "red"), 3.0: (15.5, "red"), 4.0: (None, None)}
 
@@ -214,10 +218,34 @@ def test_clean_tables(tables, data):
 
 def test_all_results_run(tables):
     results = wb.results(tables)
-    assert len(results) == 12
+    assert len(results) == 14
     assert all(frame.limit(1).count() == 1 for frame in results.values())
 
 
+def test_losses_of_the_results(spark, tables, data, tmp_path):
+    losses = Losses()
+    results = wb.results(tables, losses)
+    for name in ("species_bars", "rotation"):
+        results[name].write.parquet(str(tmp_path / name))
+    bars = [r.percent for r in wb.species(tables).collect()]
+    reports = [(name, way) for _, name, way in data["C_especies"]]
+    missing = sum(1 for pair in reports if "NA" in pair or None in pair)
+    expected = {
+        ("species", "no species or direction", len(reports), missing),
+        ("species", "species not listed", len(reports),
+         sum(1 for n, w in reports if n not in ("NA", None, *d.SPECIES) and w not in ("NA", None))),
+        ("species bars", "below", len(bars), sum(b < -60 for b in bars)),
+        ("species bars", "above", len(bars), sum(b > 60 for b in bars)), ("species bars", "missing", len(bars), 0),
+        ("rotation", "month not listed", len(data["B_rotacion"]), sum(r[2] not in d.MONTHS for r in data["B_rotacion"]))}
+    assert {tuple(r) for r in losses.report(spark).collect()} == expected
+
+
+def test_items_have_their_place(tables):
+    results = wb.results(tables)
+    for name, order in (("conflicts", d.CONFLICT_LABELS), ("changes", d.CHANGE_ORDER), ("heatmaps", d.CHANGE_ORDER)):
+        assert {r.item: r.position for r in results[name].collect()} == {item: i for i, item in enumerate(order, start=1)}
+
+
 def test_dropped_and_contradictory_species(spark):
     """By plain loops: a zone's reports both ways, and reports outside the list."""
     profile = [(1, "x"), (2, None), (3, "x")]
