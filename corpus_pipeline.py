@@ -37,6 +37,11 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays.
+
+    Rows that share an id are one document and stay or go together. Rows with a NULL id
+    cannot be told apart and all stay, copies among them too.
+    """
     return neardup.keep_one(docs).select(COLUMNS)
 
 
@@ -46,7 +51,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(docs, VOCABULARY)
+    """doc_id, ids to train on, n_tokens, and the digests of the ids and of what they decode to."""
+    back = bpe.round_trip(docs.select("doc_id", "text"), VOCABULARY)
+    return back.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,7 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.
+
+    Documents with NULL, empty or short texts go at the first stage. A NULL id takes part in
+    every stage but the choice among copies (``keep_one``) and the loss of lines. Repeated
+    rows are documents of their own at the first and the last two stages. Columns beyond
+    those of ``documents`` are dropped. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
