@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -126,8 +127,28 @@ def test_line_filters_find_all_repeats(spark):
     df = spark.createDataFrame([(i, f"shared line number {i % 7}\nown line number {i}") for i in range(60)],
                                "doc_id long, text string").repartition(5)
     bits = np.frombuffer(linededup.twice_seen(df, 1 << 15), np.uint8)
-    keys = [linededup.digest(linededup.line_key(f"shared line number {i}")) for i in range(7)]
-    assert linededup._test(bits, linededup._bits(keys, 1 << 15)).all()
+    _, counts, keys = linededup.line_keys(pa.array([f"shared line number {i}" for i in range(7)]))
+    assert counts.all() and linededup._test(bits, linededup._bits(keys, 1 << 15)).all()
+
+
+def test_line_keys(monkeypatch):
+    """Equal keys have equal hashes wherever they stand, also in lines longer than a piece."""
+    r = random.Random(6)
+    parts = ["a", "B", "é", " ", "\t", "\n", "\r", "\v", "日本", "x" * 30, ""]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(400)] + [None, "", "\n", " \n ", "q" * 500, " Q" + "q" * 499]
+    lines = [line for t in texts for line in (t or "").split("\n")]
+    keys = [line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOWER) for line in lines]
+    for chunk in (64, 1 << 16):
+        monkeypatch.setattr(linededup, "CHUNK", chunk)
+        linededup._bases.cache_clear()
+        first, counts, hashes = linededup.line_keys(pa.array(texts))
+        assert np.diff(first).tolist() == [(t or "").count("\n") + 1 for t in texts]
+        assert counts.tolist() == [len(k) >= 10 for k in keys]
+        seen = {}
+        for key, own in zip(keys, map(tuple, hashes.tolist())):
+            assert seen.setdefault(key, own) == own
+        assert len(set(seen.values())) == len(seen)
+    linededup._bases.cache_clear()
 
 
 def test_quality_counts_and_verdicts(docs, texts, nothing):
@@ -156,6 +177,64 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in odd)
 
 
+def drawn_estimate(points, wide=None, start=None):
+    """The C-steps in numpy: (mean, covariance, scale), drawn towards those of ``wide``."""
+    n, prior, floors = len(points), quality.PRIOR if wide else 0, np.diag(np.square(quality.FLOORS))
+    quarters = np.quantile(points, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    mean, cov = quarters[1], np.diag(((quarters[2] - quarters[0]) / 1.349) ** 2) + floors
+    if wide:
+        mean = (n * mean + prior * wide[0]) / (n + prior)
+        cov = np.diag((n * np.diag(cov) + prior * np.diag(wide[1])) / (n + prior))
+
+    def bins():
+        d2 = np.einsum("ij,jk,ik->i", points - mean, np.linalg.inv(cov), points - mean)
+        bin_of = np.floor(np.log(d2 + 1e-6) * 32).astype(int)
+        order = sorted(set(bin_of.tolist()))
+        before = {b: int((bin_of < b).sum()) for b in order}
+        inner = [b for b in order if before[b] < n * quality.COVERED]
+        return np.isin(bin_of, inner), max(inner)
+
+    for _ in range(quality.C_STEPS):
+        own = points[bins()[0]]
+        total, second = own.sum(0), own.T @ own
+        if wide:
+            total, second = total + prior * wide[0], second + prior * (wide[1] + np.outer(wide[0], wide[0]))
+        mean = total / (len(own) + prior)
+        cov = second / (len(own) + prior) - np.outer(mean, mean) + floors
+    scale = np.exp((bins()[1] + 1) / 32) / quality.CHI_75
+    return mean, cov, (n * scale + prior * wide[2]) / (n + prior) if wide else scale
+
+
+def test_estimates_of_small_groups_against_numpy(spark):
+    """A group of one, of few and of many documents, each drawn towards the wider group by its size."""
+    rng = np.random.default_rng(3)
+    sizes = {"one": 1, "few": 7, "many": 600}
+    groups = {g: rng.normal(i, 0.5 + i / 3, (n, 4)) for i, (g, n) in enumerate(sizes.items())}
+    df = spark.createDataFrame([(0, g, *map(float, p)) for g, own in groups.items() for p in own],
+                               "every int, g string, x0 double, x1 double, x2 double, x3 double")
+    every = quality.covariance_determinant(df, ["every"])
+    robust = {r.g: r for r in quality.covariance_determinant(df, ["every", "g"], every, ["every"]).collect()}
+    wide = drawn_estimate(np.concatenate(list(groups.values())))
+    for g, own in groups.items():
+        mean, cov, scale = drawn_estimate(own, wide)
+        factor = np.zeros((4, 4))
+        for i, j in quality._pairs():
+            factor[i, j] = robust[g][f"l{i}{j}"]
+        assert np.allclose([robust[g][f"m{i}"] for i in range(4)], mean, atol=1e-6)
+        assert np.allclose(factor @ factor.T, cov, atol=1e-6) and abs(robust[g].scale - scale) < 1e-6
+
+
+def test_small_groups_are_judged(spark):
+    """One document of its own language and source that is like no other goes."""
+    r = random.Random(12)
+    clean = [(i, sentence(r, r.randint(60, 400)), "en", f"s{i % 3}") for i in range(300)]
+    clean += [(500 + i, sentence(r, 200), f"l{i}", f"t{i}") for i in range(5)]
+    odd = [(900 + i, " ".join(w + "***" for w in sentence(r, 100).split()), f"odd{i}", f"u{i}") for i in range(3)]
+    df = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id: x.kept for x in quality.quality_rules(df).collect()}
+    assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in odd)
+
+
 def test_covariance_against_numpy(spark):
     """With all points in the estimate's half, centre and factor are those of the nearest points."""
     rng = np.random.default_rng(0)
@@ -170,6 +249,17 @@ def test_covariance_against_numpy(spark):
     assert np.abs(center).max() < 0.3 and d2[:300].max() * 5 < d2[300:].min()
 
 
+def test_good_and_bad_documents_by_label(spark):
+    """On the labelled documents: no good one is an outlier, and nearly all bad ones go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.quality_rules(docs).join(labels, "doc_id").groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("base_failed")).alias("failed"),
+        F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("outliers")).collect()
+    found = {r.quality: (r.n, r.failed, r.outliers) for r in judged}
+    assert found[1][2] <= 0.01 * found[1][0]
+    assert found[0][1] + found[0][2] >= 0.9 * found[0][0]
+
+
 def test_mixing(spark, docs, texts, nothing):
     sizes = {"big": 600, "mid": 120, "small": 40}
     rows = [(f"{s}{i}", "w " * (5 + i % 9), s) for s, n in sizes.items() for i in range(n)]
@@ -190,6 +280,39 @@ def test_mixing(spark, docs, texts, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_many_small_sources_lie_evenly_over_the_shards(spark):
+    """10,000 rows of one source, and 10,000 sources of one row: every shard has its part of both."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"),
+                                    F.when(F.col("id") < 10_000, "large").otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    done = sharding.shard_documents(df).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "large").alias("large")).collect()
+    assert [r.n for r in done] == [2500] * 8 and len(done) == 8
+    assert all(1100 < r.large < 1400 for r in done)
+
+
+def test_interleaving_against_a_plain_one(spark):
+    """The order of all fractions, made by hand from Spark's own hashes."""
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "b", "c", None]), r.randint(0, 9)) for i in range(500)] + [(7, "a", 1)] * 3
+    df = spark.createDataFrame(rows, "k int, s string, t int")
+    hashes = df.select("k", "s", "t", F.xxhash64(F.lit(11).cast("long"), "k", "t").alias("h"),
+                       F.xxhash64(F.lit(12).cast("long"), "s").alias("phase"), F.xxhash64("s").alias("sh")).collect()
+    strata = collections.defaultdict(list)
+    for x in hashes:
+        strata[x.s].append(x)
+    order = []
+    for own in strata.values():
+        for i, x in enumerate(sorted(own, key=lambda x: (x.h, x.k, x.t)), start=1):
+            order.append(((i - ((x.phase & (1 << 64) - 1) >> 12) / (1 << 52)) / len(own), x.sh, x.h, x.k, x.t, x.s))
+    order.sort()
+    expected, n = [], len(order)
+    for place, (*_, k, t, s) in enumerate(order):
+        shard = place * 5 // n
+        expected.append((k, s, t, shard, place - -(-shard * n // 5)))
+    got = [tuple(x) for x in sharding.interleave(df, 5, "s", ["k", "t"]).select("k", "s", "t", "shard", "slot").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_mixing_entropy_target(spark):
     shares = spark.createDataFrame([(0.7,), (0.2,), (0.1,)], "p double")
     t = mixing.bisect_exponent(shares, 0.9, None, None)
@@ -487,7 +610,8 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(k for k in oracle_sql() if re.match(r"op\d", k)))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     expected = con.execute(oracle_sql()[name]).fetchall()
     assert sorted(tuple(r) for r in queries()[name](spark, SF).collect()) == sorted(expected) != []
 
@@ -511,6 +635,29 @@ def test_pipeline(spark):
     assert set(frames[2][1].doc_id) == {order[k] for k, g in groups.items() if g[2]}
     assert set(frames[3][1].doc_id) == set(frames[3][0].doc_id)
     assert len(frames[4][1]) == len(frames[4][0])
+    library = Tokenizer.from_file(VOCABULARY)
+    library.no_truncation()
+    library.no_padding()
+    plain = dict(zip(frames[4][0].doc_id, frames[4][0].text))
+    for doc_id, ids, n in zip(frames[4][1].doc_id, frames[4][1].ids, frames[4][1].n_tokens):
+        assert ids.tolist() == library.encode(plain[doc_id], add_special_tokens=False).ids and len(ids) == n
+
+
+def test_pipeline_on_nothing_and_on_awkward_rows(spark):
+    """Empty documents, and NULL and repeated ids through all stages: what ``run`` says of them."""
+    r = random.Random(23)
+    texts = [sentence(r, 90) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (1, texts[1]), (1, texts[2]), (2, texts[1]), (3, texts[3]), (4, texts[3]),
+            (None, None), (5, ""), (6, texts[4] + "\n" + texts[5]), (7, texts[4])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    whole = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], schema)
+    for docs in (whole, whole.limit(0)):
+        for _, step in corpus_pipeline.STAGES:
+            docs = common.stage(step(spark, docs, SF), "awkward")
+        left = collections.Counter(x.doc_id for x in docs.collect())
+        # Copies under a NULL id, and rows of an id of which one stays, all stay; other copies go, and mixing
+        # repeats nothing within one source.
+        assert left == ({None: 2, 1: 2, 3: 1, 6: 1} if whole is not docs and left else {})
 
 
 def test_pipeline_keeps_good_rows_of_null_and_repeated_ids(spark):
