@@ -35,7 +35,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **setting
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Where that is unset, the warehouse, which all executors share as well.
+    Where that is unset, the warehouse of a local session. On a cluster the warehouse may
+    be a folder of one machine, so the setting is needed there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
