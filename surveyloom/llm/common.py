@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from surveyloom.session import shared_folder
+
 #: Characters that end a word, as a literal list and as a regular expression.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -17,9 +19,9 @@ HOT_SHARE = 512
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse of a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+    return folder.rstrip("/") if folder else f"{shared_folder(spark)}/checkpoints"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
