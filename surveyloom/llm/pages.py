@@ -17,6 +17,9 @@ from surveyloom.llm.common import stage
 #: A class needs so many tokens, and must occur on so many pages and on such a share of the host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 3, 0.5
 
+#: Modulus of the products that stand for occurrence vectors.
+PRIME = (1 << 31) - 1
+
 #: Elements without content of their own, those whose content is never shown as text, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
@@ -33,11 +36,32 @@ _ASIDE = (
     r"recommended|comment|comments|disqus|reply|replies|respond|pagination|pager|toolbar|skip|masthead|copyright|"
     r"legal|disclaimer)")
 
-#: A class or id counts as a whole: such a word, or several of them and words of place in a row (``site-footer``), but
-#: not ``has-sidebar`` or ``side-by-side``.
+#: A class or id counts as a whole: such a word, or several of them and words of place in a row (``site-footer``).
 _PLACE = r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|box|block|bar|list)"
 ASIDE_WORDS = re.compile(rf"(?<!\S)(?:{_PLACE}[_-])*{_ASIDE}(?:[_-](?:{_PLACE}|{_ASIDE}))*(?!\S)")
 
+#: Words that count as a part of a name too (``post-comments``, ``ad-slot``), unless another part says that the name tells
+#: of the layout or of what is absent (``has-sidebar``, ``side-by-side``).
+ASIDE_PARTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
+    "menu breadcrumb breadcrumbs sidebar widget widgets footer cookie cookies consent gdpr popup modal newsletter subscribe "
+    "signup share sharing social related recommended comment comments commentlist commentform comentarios commentaires "
+    "kommentare disqus respond replies pagination pager masthead".split())
+LAYOUT_PARTS = frozenset("has no not with without by is hide hidden off free".split())
+_PARTS = re.compile(r"[^\W_]+")
+
+
+def says_aside(label: str) -> bool:
+    """Whether a class or id among the names of ``label`` marks what is not the article."""
+    if ASIDE_WORDS.search(label):
+        return True
+    for name in label.split():
+        parts = set(_PARTS.findall(name))
+        if not parts.isdisjoint(ASIDE_PARTS) and parts.isdisjoint(LAYOUT_PARTS):
+            return True
+    return False
+
+
 #: Elements that end an open p, and those that end an open element of their own kind.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                    "main nav ol p pre section table ul".split())
@@ -80,7 +104,7 @@ def _open(parent: Element, name: str, attributes: str) -> Element:
         "articlebody" in marks.get("itemprop", "")
     aside = (parent.aside or name in ASIDE or marks.get("role") in ASIDE_ROLES
              or (name == "header" and not parent.article))
-    named = name not in ("html", "body", "article", "main") and bool(label) and bool(ASIDE_WORDS.search(label))
+    named = name not in ("html", "body", "article", "main") and bool(label) and says_aside(label)
     main = parent.main or name == "main" or marks.get("role") == "main"
     return Element(parent, name, f"{parent.path}/{name}.{label}" if label else f"{parent.path}/{name}", main, article,
                    aside, named)
@@ -137,8 +161,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token role: pages, occurrences, and two weighted sums that stand for the occurrence vector.
 
     The vector of a role has its count on each page. Its products with two fixed
-    random vectors (one number per page) are kept instead, modulo 2**31; they add up
-    over any split of the pages, and equal vectors have equal products.
+    random vectors (one number per page) are kept instead, modulo a prime of 31 bits, so that
+    sums over thousands of millions of tasks fit; they add up over any split of the pages, and
+    equal vectors have equal products.
     """
     for batch in batches:
         sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -152,8 +177,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = sums[host, role]
                 row[0] += 1
                 row[1] += n
-                row[2] += n * one
-                row[3] += n * two
+                row[2] = (row[2] + n * one) % PRIME
+                row[3] = (row[3] + n * two) % PRIME
         rows = [(h, r, *v) for (h, r), v in sums.items()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.string(), *[pa.int64()] * 5]
@@ -168,7 +193,8 @@ def templates(pages: DataFrame) -> DataFrame:
     and again per host and role, so that no task sees all pages of a hot host.
     """
     roles = (pages.mapInArrow(_counted, "host string, role long, pages long, total long, one long, two long")
-             .groupBy("host", "role").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "one", "two")])
+             .groupBy("host", "role").agg(*[F.sum(c).alias(c) for c in ("pages", "total")],
+                                          *[(F.sum(c) % PRIME).alias(c) for c in ("one", "two")])
              .filter(F.col("pages") >= LEAST_PAGES))
     whole = pages.groupBy(F.col("host").alias("__host")).agg(F.count(F.lit(1)).alias("all"))
     frequent = roles.join(whole, F.col("host") == F.col("__host")).filter(F.col("pages") >= F.col("all") * LEAST_SHARE)
@@ -224,31 +250,30 @@ def _wrappers(blocks: list[tuple[Element, str]]) -> set[Element]:
 def _blocks(page: list[tuple], marked: dict[int, int]) -> list[tuple[Element, str]]:
     """The texts of the slots, each with its element.
 
-    A text in an article is template only together with its element, whose tag must
-    belong to the same class: a paragraph among others like it stays.
+    In an article a block is template as a whole or not at all: a notice repeated as a plain
+    paragraph of every article goes, a paragraph with a repeated beginning stays.
     """
     out: list[tuple[Element, str]] = []
     block: list[str] = []
     home: Element | None = None
+    own = False  # whether the block has text of its own
 
     def close():
         text = _BLANKS.sub(" ", "".join(block)).strip()
-        if text and home is not None:
+        if text and home is not None and (own or not home.article):
             out.append((home, text))
         block.clear()
 
-    opened: dict[Element, int] = {}
     for i, (kind, _, element, shown, _) in enumerate(page):
         if kind != "text":
             close()
-            home = None
-            if kind == "open":
-                opened[element] = i
-        elif i not in marked or (element.article and marked.get(opened.get(element)) != marked[i]):
+            home, own = None, False
+        elif i not in marked or element.article:
             if home is None or element is not home:
                 close()
-                home = element
+                home, own = element, False
             block.append(shown)
+            own = own or (i not in marked and not shown.isspace())
     close()
     return out
 
