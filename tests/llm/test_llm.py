@@ -616,6 +616,40 @@ def test_passages_whose_seeds_all_stand_earlier(spark):
     found = {(x.doc_id, x.ref_id) for x in got if x.n_words == x.n_same == 60}
     assert found == {(100 * m + 13, 100 * m + 12) for m in range(20)}
 
+
+def test_changed_passage_whose_parts_stand_earlier(spark):
+    """No run of words of documents 3 and 4 leads from one to the other first: 1 and 2 hold them all, and one word differs."""
+    r = random.Random(17)
+    w = [f"word{k}" for k in range(60)]
+    changed = [*w[:29], "else", *w[30:]]
+    rows = [(i + 1, f"{sentence(r, 30)} {' '.join(p)} {sentence(r, 30)}")
+            for i, p in enumerate([w[:34], w[26:], w, changed])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (passages.MOST_PLACES, None):
+        got = [(x.doc_id, x.ref_id, x.n_words, x.n_same) for x in passages.repeated_passages(frame, most=most).collect()]
+        assert got == [(4, 3, 60, 59)]
+
+
+def test_every_pair_of_alike_texts_is_linked(spark):
+    """Five variants of a text, four words apart, give all ten pairs; whole copies lead to the smallest id only."""
+    r = random.Random(23)
+    w = [f"w{k}" for k in range(120)]
+    variants = [" ".join(f"v{i}x{k}" if k in r.sample(range(120), 4) else x for k, x in enumerate(w)) for i in range(5)]
+    frame = spark.createDataFrame(list(enumerate([*variants, *variants, None, "", variants[0]])), "doc_id long, text string")
+    got = {(x.doc_id, x.ref_id) for x in passages.repeated_passages(frame.repartition(3)).collect()}
+    assert got == {(i, j) for i in range(5) for j in range(i)} | {(i + 5, i) for i in range(5)} | {(12, 0)}
+
+
+def test_passages_of_many_places(spark):
+    """Runs of more places than are compared in pairs still lead to a first one, whole windows to one that holds them."""
+    r = random.Random(29)
+    w = [f"p{k}" for k in range(60)]
+    rows = [(i, f"{sentence(r, 20)} {' '.join(w if i % 3 else w[:40])} {sentence(r, 20)}") for i in range(30)]
+    got = {(x.doc_id, x.ref_id, x.n_words) for x in passages.repeated_passages(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4), most=5).collect()}
+    assert {(d, n) for d, _, n in got} == {(d, 60) for d in range(2, 30) if d % 3}
+
+
 def test_recall_of_changed_passages(spark):
     """Planted passages with 5 to 20 of 100 words changed at random, and with every n-th word changed."""
     r = random.Random(11)
