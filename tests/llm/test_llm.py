@@ -650,6 +650,77 @@ def test_passages_of_many_places(spark):
     assert {(d, n) for d, _, n in got} == {(d, 60) for d in range(2, 30) if d % 3}
 
 
+def stage_rows(monkeypatch):
+    """Rows of each table that the operator on passages writes, by its name."""
+    rows = {}
+    written = passages.stage
+
+    def stage(df, name):
+        rows[name] = written(df, name)
+        return rows[name]
+    monkeypatch.setattr(passages, "stage", stage)
+    return rows
+
+
+def test_unlike_pairs_around_common_lines_are_not_joined(spark, monkeypatch):
+    """A line of all and a run of few lie in every text, but only three pairs are alike: no other pair is written for a join."""
+    r = random.Random(41)
+    common, few = [f"all{k}" for k in range(12)], [[f"few{g}x{k}" for k in range(4)] for g in range(3)]
+    texts = {}
+    for i in range(90):
+        around = [[f"a{i}x{r.randint(0, 10 ** 6)}" for _ in range(80)] for _ in range(3)]
+        texts[i] = [*around[0], *common, *around[1][:i % 60], *few[i % 3], *around[2]]
+    for i in range(3):  # the common line and the run of few belong to a passage of 60 words, six of them changed
+        words = [*common, *[f"p{i}x{k}" for k in range(44)], *few[i]]
+        for doc in (i, 90 + i):
+            texts[doc] = [*texts[i][:40], *[f"c{doc}x{k}" if k % 9 == 8 and doc > 89 else w for k, w in enumerate(words)],
+                          *[f"e{doc}x{k}" for k in range(80)]]
+    rows = stage_rows(monkeypatch)
+    got = {(x.doc_id, x.ref_id) for x in passages.repeated_passages(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(90 + i, i) for i in range(3)}
+    assert rows["chains"].count() < 2 * len(texts)  # one for each text with the first of the common line, and few more
+
+
+def test_reference_of_a_short_passage_is_not_sent_whole(spark, monkeypatch):
+    """What goes to the alignment of one short stretch ends where its extension must end, also near a line of many texts."""
+    r = random.Random(43)
+    common, run = [f"all{k}" for k in range(20)], [f"p{k}" for k in range(60)]
+    sides = [" ".join(f"s{i}x{r.randint(0, 10 ** 6)}" for _ in range(3000)) for i in range(4)]
+    rows = [(0, f"{sides[0]} {' '.join(run + common)} {sides[1]}"), (1, f"{sides[2]} {' '.join(run + common)} {sides[3]}")]
+    rows += [(i, " ".join(common)) for i in range(2, 4)]
+    rows += [(i, f"{' '.join(f'o{i}x{k}' for k in range(60))} {' '.join(common)}") for i in range(4, 90)]
+    written = stage_rows(monkeypatch)
+    got = [tuple(x)[:2] + (x.n_words, x.n_same) for x in passages.repeated_passages(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert got == [(1, 0, 80, 80)]
+    assert [x.hi - x.lo < 500 for x in written["pairs"].filter("doc_id = 1").collect()] == [True]
+
+
+@pytest.mark.parametrize("shift", [0, 7, 60, 92])
+def test_bits_around_a_seed_keep_every_alike_piece(shift):
+    """Pieces of 50 to 99 words, a fifth of them changed, with the seed anywhere inside, always may be alike; others seldom."""
+    r = random.Random(shift)
+    kept = [0, 0]
+    for n in (50, 73, 99):
+        if shift + passages.SEED > n:
+            continue
+        piece = [r.getrandbits(64) for _ in range(n)]
+        free = [k for k in range(n) if not shift <= k < shift + passages.SEED]
+        for trial in range(20):
+            changed = set(r.sample(free, n // 5)) if trial else set(free)
+            other = [r.getrandbits(64) if k in changed else w for k, w in enumerate(piece)]
+            sides = []
+            for words in (piece, other):
+                text = [r.getrandbits(64) for _ in range(40)] + words + [r.getrandbits(64) for _ in range(30)]
+                sides.append(passages._sides(np.array(text, np.uint64), np.array([40 + shift])))
+            found = bool(passages._may_surround([a ^ b for a, b in zip(*sides)])[0])
+            assert found or not trial
+            kept[0] += not trial and found
+            kept[1] += not trial
+    assert not kept[0] or kept[0] < kept[1]
+
+
 def test_recall_of_changed_passages(spark):
     """Planted passages with 5 to 20 of 100 words changed at random, and with every n-th word changed."""
     r = random.Random(11)
